@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, media, mixing, packing, quality_rules, shingle_join, warc
+from . import html_extract, line_dedup, media, mixing, packing, quality_rules, repeats, shingle_join, suffix_tree, warc
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op2_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -57,7 +66,7 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_page_differencing, op5_host_rules, op6_line_edit_join, op7_warc_archive, op8_avi_mjpeg, op9_voronoi_join, op10_residual_packing)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_bwt_merge_dedup, op3_source_mix, op4_page_differencing, op5_host_rules, op6_line_edit_join, op7_warc_archive, op8_avi_mjpeg, op9_voronoi_join, op10_residual_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
