@@ -47,6 +47,14 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so when the driver's plan
     objects are collected, which a driver with a large heap may put off for hours."""

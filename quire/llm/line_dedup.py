@@ -130,16 +130,25 @@ def links(lines: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN_CHARS) ->
     rows = lines.where(F.length("line") >= min_chars).select("id", F.explode(keys(F.col("line"), tau)).alias("k")).select("id", "k.key", "k.own")
     w = W.partitionBy("key")
     live = stored(rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi").select("key", "id", "own"), "line-keys")
-    own = live.where("own").select(F.col("key").alias("k"), F.col("id").alias("a"))
-    probe = live.select("key", F.col("id").alias("b"))
-    pairs = own.join(probe, F.col("k") == F.col("key")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    used = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi").select("id", "line")
+    used = lines.join(live.select(F.col("id").alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi").select("id", "line", *letters(F.col("line")))
     used = stored(used, "line-texts", small=True)
-    both = pairs.join(used.toDF("a", "x"), "a").join(used.toDF("b", "y"), "b")
+    # an edit changes two letter counts by one at most: most chance meetings end here, unemitted
+    counts = [c for c in used.columns if c not in ("id", "line")]
+    met = live.join(used.select(F.col("id").alias("i"), *counts), F.col("id") == F.col("i")).drop("i")
+    own = met.where("own").select(F.col("key").alias("k"), F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in counts])
+    apart = reduce(lambda x, y: x + y, [F.abs(F.col(c) - F.col(f"a_{c}")) for c in counts])
+    pairs = own.join(met, (F.col("k") == F.col("key")) & (F.col("a") != F.col("id")) & (apart <= 2 * tau)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    text = used.select("id", "line")
+    both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
     return stored(both.where(within("x", "y", tau)).select("a", "b"), "line-links", small=True)
 
 
+def letters(line: Column) -> list[Column]:
+    """How often each pair of neighbours of the alphabet comes in a line."""
+    pairs = ["".join(chr(c) + chr(c).upper() for c in (i, i + 1)) for i in range(ord("a"), ord("z"), 2)]
+    return [(F.length(line) - F.length(F.translate(line, x, ""))).alias(f"n_{x[0]}") for x in pairs]
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text reduced to its kept lines, and __n_lines, __n_equal, __n_near: lines,
     removed as equal to an earlier one, removed as near one."""
