@@ -9,13 +9,15 @@ part them. A first cut therefore takes as regions the shingles in each object's
 global order, linked objects share a shingle among their first n - ceil(s n) + 1. Then, in every
 region with two objects or more, again and again until none is left:
 
-* pivots are drawn and every object's distance to them is bounded by a count sketch and, where
-  that leaves doubt, computed; an object within the radius of a pivot is linked to it;
+* a region of at most ``few`` objects ends with their pairs;
+* in a larger one pivots are drawn and every object's distance to them is bounded by a count sketch
+  and, where that leaves doubt, computed; an object within the radius of a pivot is linked to it;
 * by the triangle inequality an object within the radius can only link to objects within twice the
-  radius. Those in that window are the boundary: they are replicated, that is, they meet the
-  pivot's inner objects at once and also stay in the region;
+  radius. Those in that window are the boundary: they are replicated, that is, they are
+  held to meet the pivot's inner objects and also stay in the region;
 * inner objects and the pivots leave the region, which recurs with more pivots.
 
+Held meetings come last, and only between objects that no chain of links has joined by then.
 A group of near copies so costs one distance a member and not all pairs; nothing is capped.
 
 The global order puts frequent shingles last: those that a hash sample of documents shows most
@@ -29,19 +31,21 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chain, chunks, mix, stored, text_of
+from .common import U64, Words, chain, chunks, discard, mix, stored, text_of
 from .graph import components
 
 WIDTH, PERCENT, SKETCH = 5, 80, 256
-BASE = "doc_id long, n long, s1 long, s2 long, prefix array<long>"
-SETS = "id long, n long, items array<long>, sketch array<tinyint>"
+BASE = "doc_id long, n long, s1 long, s2 long, prefix array<long>, sketch array<tinyint>"
+SETS = "id long, items array<long>"
 
 
 def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,17 +78,30 @@ def _sums(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """BASE of each document: size of its set, two sums that name the set, and its prefix."""
+    """BASE of each document: size of its set, two sums that name the set, its prefix, and its counts
+    by hash (null where one is large). A task gives the prefix of equal sets only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rows, texts in chunks(batches):
             doc, h, n = shingles(texts)
+            s1, s2 = _sums(h, n, 1), _sums(h, n, 2)
+            new = np.zeros(len(texts), bool)
+            for i, s in enumerate(s1.tolist()):
+                if s not in seen:
+                    new[i] = True
+                    seen.add(s)
+            if len(seen) > 1 << 20:
+                seen.clear()
             late = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
             order = np.lexsort((h, late, doc))
-            need = n + (percent * n) // -100 + (n > 0)  # n - ceil(s n) + 1
+            need = np.where(new, n + (percent * n) // -100 + (n > 0), 0)  # n - ceil(s n) + 1
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             kept = order[place < np.repeat(need, n)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(_sums(h, n, 1)), pa.array(_sums(h, n, 2)), _lists(h[kept].view(np.int64), need, pa.int64())], ["doc_id", "n", "s1", "s2", "prefix"])
+            counts = np.bincount(doc * SKETCH + (mix(h + U64(7)) & U64(SKETCH - 1)).astype(np.int64), minlength=len(texts) * SKETCH).reshape(len(texts), SKETCH)
+            fits = (counts.max(1, initial=0) <= 127) & new
+            sk = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fits * SKETCH)]), pa.int32()), pa.array(counts[fits].astype(np.int8).ravel()), mask=pa.array(~fits))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), _lists(h[kept].view(np.int64), need, pa.int64()), sk], ["doc_id", "n", "s1", "s2", "prefix", "sketch"])
 
     return text_of(docs).mapInArrow(run, BASE)
 
@@ -102,20 +119,17 @@ def frequent(docs: DataFrame, hot: int, every: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """SETS of documents: the sorted shingles and their counts by hash, null where one is large."""
+    """SETS of documents: the sorted shingles by the set's first sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
-            doc, h, n = shingles(texts)
-            counts = np.bincount(doc * SKETCH + (mix(h + U64(7)) & U64(SKETCH - 1)).astype(np.int64), minlength=len(texts) * SKETCH).reshape(len(texts), SKETCH)
-            fits = counts.max(1, initial=0) <= 127
-            sk = pa.array([c.astype(np.int8) if f else None for c, f in zip(counts, fits, strict=True)], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), pa.array(n, pa.int64()), _lists(h.view(np.int64), n, pa.int64()), sk], ["id", "n", "items", "sketch"])
+            _, h, n = shingles(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), _lists(h.view(np.int64), n, pa.int64())], ["id", "items"])
 
     return text_of(docs).mapInArrow(run, SETS)
 
 
-def distances(pairs: DataFrame, light: DataFrame, full: DataFrame, percent: int, far: int) -> DataFrame:
+def distances(pairs: DataFrame, light: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, far: int) -> DataFrame:
     """(a, b) -> a, b, zone: 0 linked (similarity at least ``percent``), 1 similarity at least
     ``far``, 2 less. Only pairs that their sketches leave open fetch the sets."""
 
@@ -124,73 +138,95 @@ def distances(pairs: DataFrame, light: DataFrame, full: DataFrame, percent: int,
 
     both = pairs.join(light.toDF("a", "na", "ska"), "a").join(light.toDF("b", "nb", "skb"), "b")
     bound = F.coalesce(F.aggregate(F.zip_with("ska", "skb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x), F.least("na", "nb"))
-    bound = F.least(bound, F.col("na"), F.col("nb"))
-    both = stored(both.withColumn("open", at_least(bound, far)).select("a", "b", "na", "nb", "open"), "pair-bounds", small=True)
+    both = stored(both.withColumn("open", at_least(F.least(bound, F.col("na"), F.col("nb")), far)).select("a", "b", "na", "nb", "open"), "pair-bounds")
+    full = fetch(both.where("open").select(F.explode(F.array("a", "b")).alias("id")).distinct())
     exact = both.where("open").join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
     exact = exact.withColumn("i", F.size(F.array_intersect("xa", "xb"))).select("a", "b", F.when(at_least(F.col("i"), percent), 0).when(at_least(F.col("i"), far), 1).otherwise(2).alias("zone"))
-    return stored(exact.union(both.where("not open").select("a", "b", F.lit(2))), "pair-zones", small=True)
+    out = stored(exact.union(both.where("not open").select("a", "b", F.lit(2))).where("zone < 2"), "pair-zones")
+    discard(full)
+    return out
 
 
-def links(regions: DataFrame, objects: DataFrame, percent: int = PERCENT, growth: int = 16) -> DataFrame:
-    """Edges that connect all linked objects: (region, id, n, at) and SETS -> a, b.
+def links(regions: DataFrame, light: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int = PERCENT, few: int = 12, growth: int = 16) -> DataFrame:
+    """Edges that connect all linked objects: (region, id, n, at) -> a, b.
 
-    ``at`` is the place of the region's shingle in the object's order; with it and the sizes, an
-    upper bound of what two objects share settles most chance meetings without their sets."""
-    spark = regions.sparkSession
-    light, full = objects.select("id", "n", "sketch"), objects.select("id", "items")
+    light: (id, n, sketch); fetch: ids to SETS. ``at`` is the place of the region's shingle in the
+    object's order; with it and the sizes, an upper bound of what two objects share settles many
+    chance meetings at once."""
     far = max(0, 2 * percent - 100)  # twice the radius
-    edges = spark.createDataFrame([], "a long, b long")
-    rows, k = regions, 1
+    edges, windows, rows, k = [], [], regions, 1
+
+    def can(p: int) -> Column:
+        room = F.least("at", "ap") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("np") - F.col("ap") - 1)
+        return (100 + p) * room >= p * (F.col("n") + F.col("np"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
+        return x.join(y, F.col("region") == F.col("r"))
+
+    def pair(t: DataFrame, x: str, y: str) -> DataFrame:
+        return t.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
     while True:
         # regions of one object are done
-        sized = rows.groupBy("region").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("region").alias("r"), "lo")
+        sized = rows.groupBy("region").agg(F.min("id").alias("lo"), F.count("*").alias("m")).where("m > 1").select(F.col("region").alias("r"), "lo", "m")
         rows = stored(rows.join(sized, F.col("region") == F.col("r")).drop("r"), "regions", small=True)
+        small, rows = rows.where(F.col("m") <= few), rows.where(F.col("m") > few)
+        done = pair(meet(small, small).where((F.col("id") < F.col("p")) & can(percent)), "id", "p")
+        pivots = rows.where("id = lo") if k == 1 else rows.where((F.col("id") == F.col("lo")) | (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) * F.col("m") < k * (1 << 20)))
+        wide = pair(meet(rows, pivots).where((F.col("id") != F.col("p")) & can(far)), "id", "p")
+        todo = stored(done.withColumn("w", F.lit(0)).union(wide.withColumn("w", F.lit(1))), "pairs", small=True)
+        if todo.isEmpty():
+            edges.append(todo.select("a", "b"))
+            break
+        edges.append(distances(todo.where("w = 0").select("a", "b"), light, fetch, percent, percent).where("zone = 0").select("a", "b"))
         if rows.isEmpty():
-            return edges
-        pivots = rows.where("id = lo") if k == 1 else _least(rows, k)
-        p = pivots.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
-        room = F.least("at", "ap") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("np") - F.col("ap") - 1)
-        can = (100 + far) * room >= far * (F.col("n") + F.col("np"))
-        met = rows.join(p, F.col("region") == F.col("r")).where(F.col("id") != F.col("p")).where(can)
-        pairs = met.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
-        zones = distances(pairs, light, full, percent, far)
-        edges = edges.union(zones.where("zone = 0").select("a", "b"))
-        near = zones.where("zone < 2").select("a", "b", "zone")
-        near = near.union(near.select("b", "a", "zone")).toDF("x", "y", "zone")
-        placed = stored(rows.join(p, F.col("region") == F.col("r")).where(F.col("id") != F.col("p")).select("region", "id", "n", "at", "p").join(near, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y"))).select("region", "id", "n", "at", "p", "zone"), "zones", small=True)
-        # inner objects meet the boundary of the same pivot
-        ring = placed.where("zone = 1").select("p", F.col("id").alias("y")).distinct()
-        inner = placed.where("zone = 0").select("p", "id").distinct()
-        cross = inner.join(ring, "p").where("id <> y").select(F.greatest("id", "y").alias("a"), F.least("id", "y").alias("b")).distinct()
-        cross = stored(cross, "boundary-pairs", small=True)
-        if not cross.isEmpty():
-            edges = edges.union(distances(cross, light, full, percent, percent).where("zone = 0").select("a", "b"))
+            break
+        zones = distances(todo.where("w = 1").select("a", "b"), light, fetch, percent, far)
+        edges.append(zones.where("zone = 0").select("a", "b"))
+        near = zones.union(zones.select("b", "a", "zone")).toDF("x", "y", "zone")
+        placed = meet(rows, pivots).where("id <> p").join(near, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y")))
+        placed = stored(placed.select("region", "id", "p", "zone"), "zones", small=True)
+        windows.append(placed.select("p", "id", "zone").distinct())
         gone = placed.where("zone = 0").select("region", "id").union(pivots.select("region", "id")).distinct()
         rows = rows.join(gone, ["region", "id"], "left_anti").select("region", "id", "n", "at")
         k *= growth
-
-
-def _least(rows: DataFrame, k: int) -> DataFrame:
-    """About ``k`` rows of each region, at least one: those of small hash for the region's size,
-    and the smallest id. Counts only, so no region is sorted or gathered."""
-    size = rows.groupBy("region").agg(F.count("*").alias("m")).withColumnRenamed("region", "r")
-    share = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) * F.col("m") < k * (1 << 20)
-    return rows.join(size, F.col("region") == F.col("r")).where(share | (F.col("id") == F.col("lo"))).drop("r", "m")
+    edges = reduce(DataFrame.union, edges)
+    if not windows:
+        return edges
+    # inner objects meet the boundary of the same pivot, unless other links have joined them
+    label = components(edges).select(F.col("node").alias("v"), "component")
+    held = reduce(DataFrame.union, windows)
+    held = held.join(label, F.col("id") == F.col("v"), "left").select("p", "id", "zone", F.coalesce("component", "id").alias("c"))
+    mixed = held.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("p").alias("q"))
+    held = stored(held.join(mixed, F.col("p") == F.col("q")).drop("q"), "windows", small=True)
+    ring = held.where("zone = 1").select(F.col("p").alias("r"), F.col("id").alias("y"), F.col("c").alias("d"))
+    cross = stored(pair(held.where("zone = 0").join(ring, (F.col("p") == F.col("r")) & (F.col("c") != F.col("d"))), "id", "y"), "boundary-pairs", small=True)
+    if cross.isEmpty():
+        return edges
+    return edges.union(distances(cross, light, fetch, percent, percent).where("zone = 0").select("a", "b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = 200_000, every: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (documents with the same set) of each document."""
     docs = text_of(docs, id_col, text_col)
-    base = stored(signatures(docs, frequent(docs, hot, every), percent), "shingle-base")
+    raw = stored(signatures(docs, frequent(docs, hot, every), percent), "shingle-raw")
+    rows = raw.select(F.col("s1").alias("id"), "n", F.posexplode("prefix").alias("at", "region"))
+    w = W.partitionBy("region")
+    live = rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi")
+    live = stored(live.select("region", "id", "n", "at").distinct(), "shingle-regions")
+    base = stored(raw.select("doc_id", "n", "s1", "s2"), "shingle-base", small=True)
+    met = live.select(F.col("id").alias("i")).distinct()
+    light = stored(raw.where(F.size("prefix") > 0).join(met, F.col("s1") == F.col("i"), "left_semi").select(F.col("s1").alias("id"), "n", "sketch").dropDuplicates(["id"]), "shingle-sketches", small=True)
+    discard(raw)
     named = base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     named = stored(named, "shingle-sets", small=True)
-    lead = named.select(F.col("rep").alias("r"), F.col("s1").alias("z1"), F.col("s2").alias("z2"))
-    one = base.join(lead, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2"))).select("s1", "n", "doc_id", F.posexplode("prefix").alias("at", "region"))
-    ends = one.groupBy("region").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select(F.col("region").alias("r"))
-    live = stored(one.join(ends, F.col("region") == F.col("r")).select("region", F.col("s1").alias("id"), "n", "at", "doc_id").distinct(), "shingle-regions")
-    some = live.select(F.col("doc_id").alias("d")).distinct()
-    objects = stored(sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")).dropDuplicates(["id"]), "shingle-objects")
-    linked = components(links(live.select("region", "id", "n", "at"), objects, percent))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        some = named.join(ids, F.col("s1") == F.col("id"), "left_semi").select(F.col("rep").alias("d")).distinct()
+        return stored(sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")), "shingle-items")
+
+    linked = components(links(live, light, fetch, percent))
     of = named.join(linked, F.col("s1") == F.col("node"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
     label = of.join(least, F.col("component") == F.col("c")).select(F.col("s1").alias("m"), "component_id")
