@@ -155,7 +155,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(id_col), text).alias("__key"), text.alias("__text"))
     lines = distinct_lines(d)
-    linked = components(links(lines, tau, min_chars))
+    linked = components(links(lines, tau, min_chars), native=True)
     # the first place of each class, for the lines of classes of two lines or more
     member = lines.select("id", "first").join(linked, F.col("id") == F.col("node"))
     class_first = member.groupBy("component").agg(F.min("first").alias("cf")).withColumnRenamed("component", "c")

@@ -61,9 +61,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, slack: int = 1 << 16
         got += taken[i] * lengths[i]
     left = budget - got
     # bounded knapsack: counts split in powers of two, one bit set of reachable sums per item
-    mask, sums, items = (1 << (left + 1)) - 1, 1, []
+    over = left + lengths[order[0]]  # a sum past the budget may be nearer to it
+    mask, sums, items = (1 << (over + 1)) - 1, 1, []
     for i in order:
-        free, k = min(counts[i] - taken[i], left // lengths[i]), 1
+        free, k = min(counts[i] - taken[i], over // lengths[i]), 1
         while free > 0:
             k = min(k, free)
             new = (sums | (sums << (k * lengths[i]))) & mask
@@ -74,7 +75,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, slack: int = 1 << 16
             k *= 2
         if sums >> left & 1:
             break
-    at = sums.bit_length() - 1
+    below = (sums & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = sums >> (left + 1)
+    above = left + 1 + (above & -above).bit_length() - 1 if above else over + left + 1
+    at = below if left - below <= above - left else above
     for i, k, before in reversed(items):
         if not before >> at & 1:
             taken[i] += k
