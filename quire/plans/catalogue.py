@@ -132,7 +132,7 @@ QUERIES = {
     "right_bound": (lambda s, d: layout.right_bound(boxes(s, d), boxes(s, d)), f"WITH {BOXES_SQL} SELECT b.page, b.box_id, min(o.x0) AS bound FROM boxes b LEFT JOIN boxes o ON b.page = o.page AND o.x0 >= b.x1 AND o.y0 < b.y1 AND o.y1 > b.y0 GROUP BY 1, 2"),
     "numeric_cells": (lambda s, d: read(s, d, "part").select("p_partkey", T.is_numeric(F.col("p_name")).alias("name"), T.is_numeric(F.concat(F.col("p_size").cast("string"), F.lit(",5 %"))).alias("size")), "SELECT p_partkey, regexp_matches(replace(regexp_replace(trim(p_name), '[ %]', '', 'g'), ',', '.'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') AS name, true AS size FROM part"),
     "valid_sheet_names": (lambda s, d: read(s, d, "part").select("p_partkey", T.valid_sheet_name(F.col("p_type")).alias("ok")), "SELECT p_partkey, length(p_type) BETWEEN 1 AND 31 AND NOT regexp_matches(p_type, '[:\\\\/?*\\[\\]'']') AS ok FROM part"),
-    "avail_width": (lambda s, d: layout.neighbours(read(s, d, "lineitem").selectExpr("l_suppkey AS sheet", "l_orderkey AS r", "l_linenumber AS c", "l_returnflag = 'N' AS occupied").distinct()).select("sheet", "r", "c", "left", "right"), 'WITH c AS (SELECT DISTINCT l_suppkey AS sheet, l_orderkey AS r, l_linenumber AS c, l_returnflag = \'N\' AS occupied FROM lineitem) SELECT sheet, r, c, max(CASE WHEN occupied THEN c END) OVER (PARTITION BY sheet, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS "left", min(CASE WHEN occupied THEN c END) OVER (PARTITION BY sheet, r ORDER BY c ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS "right" FROM c'),
+    "avail_width": (lambda s, d: layout.neighbours(read(s, d, "lineitem").selectExpr("l_suppkey AS sheet", "l_orderkey AS r", "l_linenumber AS c", "l_returnflag = 'N' AS o").groupBy("sheet", "r", "c").agg(F.bool_or("o").alias("occupied"))).select("sheet", "r", "c", "left", "right"), 'WITH c AS (SELECT l_suppkey AS sheet, l_orderkey AS r, l_linenumber AS c, bool_or(l_returnflag = \'N\') AS occupied FROM lineitem GROUP BY 1, 2, 3) SELECT sheet, r, c, max(CASE WHEN occupied THEN c END) OVER (PARTITION BY sheet, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS "left", min(CASE WHEN occupied THEN c END) OVER (PARTITION BY sheet, r ORDER BY c ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS "right" FROM c'),
     "user_search": (lambda s, d: read(s, d, "customer").where(F.col("c_name").ilike("%1%") | F.col("c_mktsegment").ilike("%build%")).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%1%' OR c_mktsegment ILIKE '%build%'"),
     "user_page": (lambda s, d: read(s, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").offset(20).limit(50).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 20"),
     "key_parity": (parity, "WITH n AS (SELECT DISTINCT substr(n_name, 1, 1) AS k FROM nation), r AS (SELECT DISTINCT substr(r_name, 1, 1) AS k FROM region) (SELECT k, 'missing' AS what FROM n WHERE k NOT IN (SELECT k FROM r)) UNION ALL (SELECT k, 'extra' FROM r WHERE k NOT IN (SELECT k FROM n))"),
