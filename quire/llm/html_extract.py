@@ -178,7 +178,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield b.append_column("range", pa.array([bisect.bisect_right(cuts, k) for k in b.column("key").to_pylist()], pa.int32()))
 
     if cuts:
-        p = p.mapInArrow(ranged, p.schema.add("range", "int")).repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "key")
+        p = p.mapInArrow(ranged, "page_id long, url string, html string, host string, path string, key string, range int").repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "key")
     else:
         p = p.withColumn("range", F.lit(0)).repartition(1).sortWithinPartitions("key")
 
