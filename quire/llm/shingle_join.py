@@ -6,19 +6,20 @@ object before anything else, however many copies they come from.
 
 Unrelated texts are all at distance one from each other and from any pivot, so pivots alone cannot
 part them. A first cut therefore takes as regions the shingles in each object's prefix: in one
-global order, linked objects share a shingle among their first n - ceil(s n) + 1. Then, in every
-region with two objects or more, again and again until none is left:
+global order, linked objects share a shingle among their first n - ceil(s n) + 1. Then:
 
-* a region of at most ``few`` objects ends with their pairs;
-* in a larger one pivots are drawn and every object's distance to them is bounded by a count sketch
-  and, where that leaves doubt, computed; an object within the radius of a pivot is linked to it;
-* by the triangle inequality an object within the radius can only link to objects within twice the
-  radius. Those in that window are the boundary: they are replicated, that is, they are
-  held to meet the pivot's inner objects and also stay in the region;
-* inner objects and the pivots leave the region, which recurs with more pivots.
+* the least object of each region is its pivot; an object within the radius of it is linked to it,
+  and a region whose objects are all joined by chains of links is done;
+* the other regions that share chains are a cell, joined exactly: pivots far apart are drawn in it,
+  and two objects are compared only if, by the triangle inequality, their distances to every pivot
+  allow it, if their sizes do, and if no chain has joined them by then;
+* a cell of more than ``room`` shingles recurs (``links``): pivots are drawn in each of its regions,
+  objects within the radius of one are linked to it and leave with it, and those within twice the
+  radius, its boundary, are replicated: they are held to meet the pivot's inner objects and also
+  stay in the region, which recurs with more pivots until none is left.
 
-Held meetings come last, and only between objects that no chain of links has joined by then.
-A group of near copies so costs one distance a member and not all pairs; nothing is capped.
+A group of near copies so costs one distance a member and not all pairs; pairs are never rows
+within a cell, and nothing is capped.
 
 The global order puts frequent shingles last: those that a hash sample of documents shows most
 often, at most ``hot`` of them. Any order gives the same links.
@@ -31,7 +32,7 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, chain, chunks, discard, mix, stored, text_of
 from .graph import components
 
-WIDTH, PERCENT, SKETCH = 5, 80, 256
-BASE = "doc_id long, n long, s1 long, s2 long, prefix array<long>, sketch array<tinyint>"
+WIDTH, PERCENT, ROOM = 5, 80, 1 << 21
+BASE = "doc_id long, n long, s1 long, s2 long, prefix array<long>"
 SETS = "id long, items array<long>"
 
 
@@ -78,8 +79,8 @@ def _sums(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """BASE of each document: size of its set, two sums that name the set, its prefix, and its counts
-    by hash (null where one is large). A task gives the prefix of equal sets only once."""
+    """BASE of each document: size of its set, two sums that name the set, and its
+    prefix. A task gives the prefix of equal sets only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -98,10 +99,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> Data
             need = np.where(new, n + (percent * n) // -100 + (n > 0), 0)  # n - ceil(s n) + 1
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             kept = order[place < np.repeat(need, n)]
-            counts = np.bincount(doc * SKETCH + (mix(h + U64(7)) & U64(SKETCH - 1)).astype(np.int64), minlength=len(texts) * SKETCH).reshape(len(texts), SKETCH)
-            fits = (counts.max(1, initial=0) <= 127) & new
-            sk = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fits * SKETCH)]), pa.int32()), pa.array(counts[fits].astype(np.int8).ravel()), mask=pa.array(~fits))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), _lists(h[kept].view(np.int64), need, pa.int64()), sk], ["doc_id", "n", "s1", "s2", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), _lists(h[kept].view(np.int64), need, pa.int64())], ["doc_id", "n", "s1", "s2", "prefix"])
 
     return text_of(docs).mapInArrow(run, BASE)
 
@@ -129,104 +127,204 @@ def sets(docs: DataFrame) -> DataFrame:
     return text_of(docs).mapInArrow(run, SETS)
 
 
-def distances(pairs: DataFrame, light: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, far: int) -> DataFrame:
-    """(a, b) -> a, b, zone: 0 linked (similarity at least ``percent``), 1 similarity at least
-    ``far``, 2 less. Only pairs that their sketches leave open fetch the sets."""
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of a batch's column ``items``: their bounds and all values."""
+    col = batch.column("items")
+    return np.asarray(col.offsets), np.asarray(col.values).view(U64)
 
-    def at_least(inter, p: int):
-        return (100 + p) * inter >= p * (F.col("na") + F.col("nb"))
 
-    both = pairs.join(light.toDF("a", "na", "ska"), "a").join(light.toDF("b", "nb", "skb"), "b")
-    bound = F.coalesce(F.aggregate(F.zip_with("ska", "skb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x), F.least("na", "nb"))
-    both = stored(both.withColumn("open", at_least(F.least(bound, F.col("na"), F.col("nb")), far)).select("a", "b", "na", "nb", "open"), "pair-bounds")
-    full = fetch(both.where("open").select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    exact = both.where("open").join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
-    exact = exact.withColumn("i", F.size(F.array_intersect("xa", "xb"))).select("a", "b", F.when(at_least(F.col("i"), percent), 0).when(at_least(F.col("i"), far), 1).otherwise(2).alias("zone"))
-    out = stored(exact.union(both.where("not open").select("a", "b", F.lit(2))).where("zone < 2"), "pair-zones")
-    discard(full)
-    return out
+def against_pivots(pairs: DataFrame, items: DataFrame, percent: int, far: int) -> DataFrame:
+    """(a, pivot, m) -> a, b (the pivot), zone: 0 linked (similarity at least ``percent``), 1 similarity
+    at least ``far``; others give no row. A task holds one pivot's set and streams those it meets; where
+    ``m``, the size of the group, is large, the pivot's objects are salted over many tasks."""
+    met = pairs.select("pivot", F.when(F.col("m") > 4096, F.pmod(F.xxhash64("a"), F.lit(64))).otherwise(0).alias("salt"), "a")
+    met = met.withColumn("own", F.lit(1)).union(met.select("pivot", "salt", F.col("pivot"), F.lit(0)).distinct())
+    rows = met.join(items, F.col("a") == F.col("id")).select("pivot", "salt", "own", "a", "items").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "own")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, U64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, values = _rows(batch)
+            own, ids, pivot = (batch.column(c).to_numpy() for c in ("own", "a", "pivot"))
+            out = []
+            first = np.flatnonzero(own == 0)
+            for lo, hi in zip(np.concatenate([[0], first]).tolist(), np.concatenate([first, [len(own)]]).tolist(), strict=True):
+                if lo < hi and own[lo] == 0:
+                    held, lo = values[at[lo] : at[lo + 1]], lo + 1
+                if lo >= hi:
+                    continue
+                some = values[at[lo] : at[hi]]
+                hit = held[np.minimum(np.searchsorted(held, some), len(held) - 1)] == some
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                inter = sums[at[lo + 1 : hi + 1] - at[lo]] - sums[at[lo:hi] - at[lo]]
+                total = np.diff(at[lo : hi + 1]) + len(held)
+                zone = np.where((100 + percent) * inter >= percent * total, 0, np.where((100 + far) * inter >= far * total, 1, 2))
+                out.append((ids[lo:hi][zone < 2], pivot[lo:hi][zone < 2], zone[zone < 2]))
+            held = held.copy()
+            if out:
+                a, b, z = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(z, pa.int32())], ["a", "b", "zone"])
+
+    return rows.mapInArrow(run, "a long, b long, zone int")
+
+
+def join_cell(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np.ndarray, percent: int, pivots: int = 6) -> list[tuple[int, int]]:
+    """Links that, with the chains that the labels stand for, connect all linked objects of a cell.
+    sizes: of each object's set; values: the sets one after the other."""
+    order = np.argsort(sizes, kind="stable")
+    starts = np.cumsum(sizes) - sizes
+    place = np.repeat(starts[order], sizes[order]) + np.arange(len(values)) - np.repeat(np.cumsum(sizes[order]) - sizes[order], sizes[order])
+    names, word = np.unique(values[place], return_inverse=True)
+    ids, labels, sizes = ids[order], labels[order].copy(), sizes[order]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flag, found = np.zeros(len(names), np.int8), []
+
+    def shared(i: int, lo: int, hi: int) -> np.ndarray:
+        mine = word[ends[i] : ends[i + 1]]
+        flag[mine] = 1
+        sums = np.concatenate([[0], np.cumsum(flag[word[ends[lo] : ends[hi]]], dtype=np.int64)])
+        flag[mine] = 0
+        return sums[ends[lo + 1 : hi + 1] - ends[lo]] - sums[ends[lo:hi] - ends[lo]]
+
+    radius, far, near = 1 - percent / 100 + 1e-9, [], np.full(len(ids), 2.0)
+    while len(ids) > 32 and len(far) < pivots:
+        i = int(near.argmax())  # far from all pivots so far
+        inter = shared(i, 0, len(ids))
+        far.append(1 - inter / (sizes + sizes[i] - inter))
+        near = np.minimum(near, far[-1])
+    top = np.searchsorted(sizes * percent, sizes * 100, "right")
+    for i in range(len(ids)):
+        lo, hi = i + 1, int(top[i])
+        may = labels[lo:hi] != labels[i]
+        for d in far:
+            may &= np.abs(d[lo:hi] - d[i]) <= radius
+        at = np.flatnonzero(may) + lo
+        if not len(at):
+            continue
+        lo, hi = int(at[0]), int(at[-1]) + 1
+        inter = shared(i, lo, hi)[at - lo]
+        for j in at[(100 + percent) * inter >= percent * (sizes[at] + sizes[i])].tolist():
+            if labels[j] != labels[i]:
+                found.append((int(ids[i]), int(ids[j])))
+                labels[labels == labels[j]] = labels[i]
+    return found
+
+
+def within_cells(members: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(cell, id, c) -> a, b: the links of each cell, a cell in one task."""
+    rows = members.join(items.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("cell", "id", "c", "items").repartition("cell").sortWithinPartitions("cell")
 
-def links(regions: DataFrame, light: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int = PERCENT, few: int = 12, growth: int = 16) -> DataFrame:
-    """Edges that connect all linked objects: (region, id, n, at) -> a, b.
-
-    light: (id, n, sketch); fetch: ids to SETS. ``at`` is the place of the region's shingle in the
-    object's order; with it and the sizes, an upper bound of what two objects share settles many
-    chance meetings at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        now = None
+
+        def close() -> list[tuple[int, int]]:
+            ids, labels, sizes, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return join_cell(ids, labels, sizes, values, percent) if len(ids) > 1 else []
+
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, values = _rows(batch)
+            cell, ids, labels = (batch.column(c).to_numpy() for c in ("cell", "id", "c"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]).tolist()
+            out = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and now != cell[lo]:
+                    out += close()
+                now = cell[lo]
+                held.append((ids[lo:hi].copy(), labels[lo:hi].copy(), np.diff(at[lo : hi + 1]).astype(np.int64), values[at[lo] : at[hi]].copy()))
+            yield batch_of(out)
+        if held:
+            yield batch_of(close())
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _can(percent: int, at: str, n: str, atp: str, np_: str) -> Column:
+    """Whether two objects that share a shingle may be as similar: before it in the global order
+    they share at most the smaller number, and after it too."""
+    room = F.least(at, atp) + 1 + F.least(F.col(n) - F.col(at) - 1, F.col(np_) - F.col(atp) - 1)
+    return (100 + percent) * room >= percent * (F.col(n) + F.col(np_))
+
+
+def links(regions: DataFrame, items: DataFrame, percent: int = PERCENT, growth: int = 16) -> DataFrame:
+    """Edges that connect all linked objects of large cells: (region, id, n, at) -> a, b."""
     far = max(0, 2 * percent - 100)  # twice the radius
     edges, windows, rows, k = [], [], regions, 1
-
-    def can(p: int) -> Column:
-        room = F.least("at", "ap") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("np") - F.col("ap") - 1)
-        return (100 + p) * room >= p * (F.col("n") + F.col("np"))
-
-    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        y = y.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
-        return x.join(y, F.col("region") == F.col("r"))
-
-    def pair(t: DataFrame, x: str, y: str) -> DataFrame:
-        return t.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-
     while True:
-        # regions of one object are done
         sized = rows.groupBy("region").agg(F.min("id").alias("lo"), F.count("*").alias("m")).where("m > 1").select(F.col("region").alias("r"), "lo", "m")
         rows = stored(rows.join(sized, F.col("region") == F.col("r")).drop("r"), "regions", small=True)
-        small, rows = rows.where(F.col("m") <= few), rows.where(F.col("m") > few)
-        done = pair(meet(small, small).where((F.col("id") < F.col("p")) & can(percent)), "id", "p")
-        pivots = rows.where("id = lo") if k == 1 else rows.where((F.col("id") == F.col("lo")) | (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) * F.col("m") < k * (1 << 20)))
-        wide = pair(meet(rows, pivots).where((F.col("id") != F.col("p")) & can(far)), "id", "p")
-        todo = stored(done.withColumn("w", F.lit(0)).union(wide.withColumn("w", F.lit(1))), "pairs", small=True)
-        if todo.isEmpty():
-            edges.append(todo.select("a", "b"))
-            break
-        edges.append(distances(todo.where("w = 0").select("a", "b"), light, fetch, percent, percent).where("zone = 0").select("a", "b"))
         if rows.isEmpty():
             break
-        zones = distances(todo.where("w = 1").select("a", "b"), light, fetch, percent, far)
+        pivots = rows.where((F.col("id") == F.col("lo")) | (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) * F.col("m") < (k - 1) * (1 << 20)))
+        y = pivots.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
+        meet = rows.join(y, F.col("region") == F.col("r")).where((F.col("id") != F.col("p")) & _can(far, "at", "n", "ap", "np"))
+        pairs = meet.groupBy(F.col("id").alias("a"), F.col("p").alias("pivot")).agg(F.max("m").alias("m"))
+        zones = stored(against_pivots(pairs, items, percent, far), "zones", small=True)
         edges.append(zones.where("zone = 0").select("a", "b"))
-        near = zones.union(zones.select("b", "a", "zone")).toDF("x", "y", "zone")
-        placed = meet(rows, pivots).where("id <> p").join(near, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y")))
-        placed = stored(placed.select("region", "id", "p", "zone"), "zones", small=True)
-        windows.append(placed.select("p", "id", "zone").distinct())
-        gone = placed.where("zone = 0").select("region", "id").union(pivots.select("region", "id")).distinct()
+        windows.append(zones.select(F.col("b").alias("p"), F.col("a").alias("id"), "zone"))
+        inner = zones.where("zone = 0").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        gone = meet.join(inner, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y"))).select("region", "id").union(pivots.select("region", "id")).distinct()
         rows = rows.join(gone, ["region", "id"], "left_anti").select("region", "id", "n", "at")
         k *= growth
+    if not edges:
+        return regions.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     edges = reduce(DataFrame.union, edges)
-    if not windows:
-        return edges
     # inner objects meet the boundary of the same pivot, unless other links have joined them
     label = components(edges).select(F.col("node").alias("v"), "component")
-    held = reduce(DataFrame.union, windows)
-    held = held.join(label, F.col("id") == F.col("v"), "left").select("p", "id", "zone", F.coalesce("component", "id").alias("c"))
-    mixed = held.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("p").alias("q"))
-    held = stored(held.join(mixed, F.col("p") == F.col("q")).drop("q"), "windows", small=True)
-    ring = held.where("zone = 1").select(F.col("p").alias("r"), F.col("id").alias("y"), F.col("c").alias("d"))
-    cross = stored(pair(held.where("zone = 0").join(ring, (F.col("p") == F.col("r")) & (F.col("c") != F.col("d"))), "id", "y"), "boundary-pairs", small=True)
-    if cross.isEmpty():
-        return edges
-    return edges.union(distances(cross, light, fetch, percent, percent).where("zone = 0").select("a", "b"))
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = 200_000, every: int = 16) -> DataFrame:
+    held = reduce(DataFrame.union, windows).distinct()
+    held = stored(held.join(label, F.col("id") == F.col("v"), "left").select("p", "id", "zone", F.coalesce("component", "id").alias("c")), "windows", small=True)
+    ring = held.where("zone = 1").select(F.col("p").alias("r"), F.col("id").alias("pivot"), F.col("c").alias("d"))
+    cross = held.where("zone = 0").join(ring, (F.col("p") == F.col("r")) & (F.col("c") != F.col("d")))
+    cross = cross.select(F.col("id").alias("a"), "pivot").distinct().withColumn("m", F.lit(0))
+    return edges.union(against_pivots(cross, items, percent, far).where("zone = 0").select("a", "b"))
+
+
+def joined(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int = ROOM) -> DataFrame:
+    """Edges that connect all linked objects: (region, id, n, at, lo, nlo, atlo, m) -> a, b."""
+    pairs = live.where((F.col("id") != F.col("lo")) & _can(percent, "at", "n", "atlo", "nlo")).groupBy(F.col("id").alias("a"), F.col("lo").alias("pivot")).agg(F.max("m").alias("m"))
+    stars = stored(against_pivots(pairs, items, percent, percent).select("a", "b"), "stars", small=True)
+    label = components(stars).select(F.col("node").alias("v"), "component")
+    tagged = live.join(label, F.col("id") == F.col("v"), "left").select("region", "id", "n", "at", F.coalesce("component", "id").alias("c"))
+    mixed = tagged.groupBy(F.col("region").alias("r")).agg(F.min("c").alias("cl"), F.max("c").alias("ch")).where("cl < ch")
+    rows = stored(tagged.join(mixed, F.col("region") == F.col("r")).select("region", "id", "n", "at", "c", "cl"), "mixed")
+    cells = components(rows.select(F.col("c").alias("a"), F.col("cl").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("cell"))
+    members = stored(rows.select("id", "n", "c").distinct().join(cells, F.col("c") == F.col("v")).select("cell", "id", "n", "c"), "cells", small=True)
+    large = members.groupBy(F.col("cell").alias("big")).agg(F.sum("n").alias("s")).where(F.col("s") > room).select("big")
+    small = members.join(large, F.col("cell") == F.col("big"), "left_anti")
+    edges = stars.union(stored(within_cells(small, items, percent), "cell-links", small=True))
+    rest = members.join(large, F.col("cell") == F.col("big"), "left_semi").select(F.col("id").alias("i"))
+    rest = stored(rows.join(rest, F.col("id") == F.col("i"), "left_semi").select("region", "id", "n", "at"), "large-cells", small=True)
+    return edges if rest.isEmpty() else edges.union(links(rest, items, percent))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = 200_000, every: int = 16, room: int = ROOM) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (documents with the same set) of each document."""
     docs = text_of(docs, id_col, text_col)
     raw = stored(signatures(docs, frequent(docs, hot, every), percent), "shingle-raw")
     rows = raw.select(F.col("s1").alias("id"), "n", F.posexplode("prefix").alias("at", "region"))
     w = W.partitionBy("region")
-    live = rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi")
-    live = stored(live.select("region", "id", "n", "at").distinct(), "shingle-regions")
+    first = F.min(F.struct("id", "n", "at")).over(w)
+    live = rows.withColumns({"first": first, "hi": F.max("id").over(w), "m": F.count("*").over(w)}).where("first.id < hi")
+    live = stored(live.select("region", "id", "n", "at", F.col("first.id").alias("lo"), F.col("first.n").alias("nlo"), F.col("first.at").alias("atlo"), "m").distinct(), "shingle-regions")
     base = stored(raw.select("doc_id", "n", "s1", "s2"), "shingle-base", small=True)
-    met = live.select(F.col("id").alias("i")).distinct()
-    light = stored(raw.where(F.size("prefix") > 0).join(met, F.col("s1") == F.col("i"), "left_semi").select(F.col("s1").alias("id"), "n", "sketch").dropDuplicates(["id"]), "shingle-sketches", small=True)
     discard(raw)
     named = base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     named = stored(named, "shingle-sets", small=True)
+    met = live.select(F.col("id").alias("i")).distinct()
+    some = named.join(met, F.col("s1") == F.col("i"), "left_semi").select(F.col("rep").alias("d")).distinct()
+    some = sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"))
+    items = stored(some.join(met, F.col("id") == F.col("i"), "left_semi"), "shingle-items")
+    items = items if docs.where("doc_id is null").isEmpty() else items.dropDuplicates(["id"])
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        some = named.join(ids, F.col("s1") == F.col("id"), "left_semi").select(F.col("rep").alias("d")).distinct()
-        return stored(sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")), "shingle-items")
-
-    linked = components(links(live, light, fetch, percent))
+    linked = components(joined(live, items, percent, room))
     of = named.join(linked, F.col("s1") == F.col("node"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
     label = of.join(least, F.col("component") == F.col("c")).select(F.col("s1").alias("m"), "component_id")

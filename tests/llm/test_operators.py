@@ -156,7 +156,8 @@ def test_media(docs):
     assert media.clips(media.with_media(docs)).count() >= len(TEXTS)
 
 
-def test_shingle_join(docs):
+@pytest.mark.parametrize("room", [shingle_join.ROOM, 0])
+def test_shingle_join(docs, room):
     low = [words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for t in TEXTS]
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for w in low]
     label = list(range(len(sets)))
@@ -165,7 +166,7 @@ def test_shingle_join(docs):
             for b in range(len(sets)):
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    for r in shingle_join.classes(docs).collect():
+    for r in shingle_join.classes(docs, room=room).collect():
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), label[r.doc_id])
 
 
@@ -196,3 +197,30 @@ def test_packing(docs):
             assert r.offset == at
             at += r.length
         assert at <= 1024
+
+
+@pytest.mark.parametrize("room", [shingle_join.ROOM, 0])
+def test_shingle_join_chains(spark, room):
+    """Groups of drifting variants, so that pivots have boundaries and chains cross them."""
+    rng, texts = random.Random(9), []
+    for _ in range(4):
+        first = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(45):
+            one = list(first)
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                one[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(one))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+    for i in range(len(up)):
+        for j in range(i):
+            if up[i] != up[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in shingle_join.classes(docs, room=room).collect()}
+    assert got == dict(enumerate(up))
+
+
+def test_shingle_join_empty(spark):
+    assert shingle_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
