@@ -8,16 +8,18 @@ Unrelated texts are all at distance one from each other and from any pivot, so p
 part them. A first cut therefore takes as regions the shingles in each object's prefix: in one
 global order, linked objects share a shingle among their first n - ceil(s n) + 1. Then:
 
-* the least object of each region is its pivot; an object within the radius of it is linked to it,
-  and a region whose objects are all joined by chains of links is done;
-* the other regions that share chains are a cell, joined exactly: pivots far apart are drawn in it,
-  and two objects are compared only if, by the triangle inequality, their distances to every pivot
-  allow it, if their sizes do, and if no chain has joined them by then;
-* a cell of more than ``room`` shingles recurs (``links``): pivots are drawn in each of its regions,
-  objects within the radius of one are linked to it and leave with it, and those within twice the
-  radius, its boundary, are replicated: they are held to meet the pivot's inner objects and also
-  stay in the region, which recurs with more pivots until none is left.
-
+* the least object of each region is its pivot, and all others are measured against it: an object
+  within the radius is linked to it;
+* by the triangle inequality such an object can only link to objects within twice the radius. Those in
+  that window are the boundary: they are replicated, that is, they are held to meet the pivot's
+  inner objects and also stay in the region; inner objects and the pivot leave it;
+* regions whose objects are all joined by chains of links by then are done; those of the others that
+  share chains are a cell. A cell of at most ``room`` shingles is joined exactly in one task: pivots far apart
+  are drawn in it, and two objects are compared only if their distances to every pivot allow it by
+  the triangle inequality, if their sizes do, and if no chain has joined them;
+* regions of larger cells recur with more pivots each, until none is left.
+
+Held meetings come last, and only between objects that no chain of links has joined by then.
 A group of near copies so costs one distance a member and not all pairs; pairs are never rows
 within a cell, and nothing is capped.
 
@@ -254,15 +256,24 @@ def _can(percent: int, at: str, n: str, atp: str, np_: str) -> Column:
     return (100 + percent) * room >= percent * (F.col(n) + F.col(np_))
 
 
-def links(regions: DataFrame, items: DataFrame, percent: int = PERCENT, growth: int = 16) -> DataFrame:
-    """Edges that connect all linked objects of large cells: (region, id, n, at) -> a, b."""
+def _open_rows(rows: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """The rows of regions that chains have not joined as a whole, with the label ``c`` of each object,
+    the region's least object ``lo``, least label ``cl`` and size ``m``."""
+    if edges:
+        label = components(reduce(DataFrame.union, edges)).select(F.col("node").alias("v"), "component")
+        rows = rows.join(label, F.col("id") == F.col("v"), "left").withColumn("c", F.coalesce("component", "id")).drop("v", "component")
+    else:
+        rows = rows.withColumn("c", F.col("id"))
+    sized = rows.groupBy(F.col("region").alias("r")).agg(F.min("id").alias("lo"), F.min("c").alias("cl"), F.max("c").alias("ch"), F.count("*").alias("m")).where("cl < ch")
+    return stored(rows.join(sized, F.col("region") == F.col("r")).select("region", "id", "n", "at", "c", "lo", "cl", "m"), "regions")
+
+
+def links(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int = ROOM, growth: int = 16) -> DataFrame:
+    """Edges that connect all linked objects: (region, id, n, at) -> a, b."""
     far = max(0, 2 * percent - 100)  # twice the radius
-    edges, windows, rows, k = [], [], regions, 1
-    while True:
-        sized = rows.groupBy("region").agg(F.min("id").alias("lo"), F.count("*").alias("m")).where("m > 1").select(F.col("region").alias("r"), "lo", "m")
-        rows = stored(rows.join(sized, F.col("region") == F.col("r")).drop("r"), "regions", small=True)
-        if rows.isEmpty():
-            break
+    edges, windows, k = [], [], 1
+    rows = _open_rows(live, edges)
+    while not rows.isEmpty():
         pivots = rows.where((F.col("id") == F.col("lo")) | (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) * F.col("m") < (k - 1) * (1 << 20)))
         y = pivots.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
         meet = rows.join(y, F.col("region") == F.col("r")).where((F.col("id") != F.col("p")) & _can(far, "at", "n", "ap", "np"))
@@ -272,10 +283,16 @@ def links(regions: DataFrame, items: DataFrame, percent: int = PERCENT, growth:
         windows.append(zones.select(F.col("b").alias("p"), F.col("a").alias("id"), "zone"))
         inner = zones.where("zone = 0").select(F.col("a").alias("x"), F.col("b").alias("y"))
         gone = meet.join(inner, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y"))).select("region", "id").union(pivots.select("region", "id")).distinct()
-        rows = rows.join(gone, ["region", "id"], "left_anti").select("region", "id", "n", "at")
+        rows = _open_rows(rows.join(gone, ["region", "id"], "left_anti").select("region", "id", "n", "at"), edges)
+        cells = components(rows.select(F.col("c").alias("a"), F.col("cl").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("cell"))
+        members = stored(rows.select("id", "n", "c").distinct().join(cells, F.col("c") == F.col("v")).select("cell", "id", "n", "c"), "cells", small=True)
+        fits = members.groupBy(F.col("cell").alias("f")).agg(F.sum("n").alias("s"), F.count("*").alias("o")).where((F.col("s") <= room) & (F.col("s") * F.col("o") <= room << 12)).select("f")
+        fits = members.join(fits, F.col("cell") == F.col("f"), "left_semi")
+        edges.append(stored(within_cells(fits, items, percent), "cell-links", small=True))
+        rows = stored(rows.join(fits.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti"), "large-cells", small=True)
         k *= growth
     if not edges:
-        return regions.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+        return live.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     edges = reduce(DataFrame.union, edges)
     # inner objects meet the boundary of the same pivot, unless other links have joined them
     label = components(edges).select(F.col("node").alias("v"), "component")
@@ -287,33 +304,14 @@ def links(regions: DataFrame, items: DataFrame, percent: int = PERCENT, growth:
     return edges.union(against_pivots(cross, items, percent, far).where("zone = 0").select("a", "b"))
 
 
-def joined(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int = ROOM) -> DataFrame:
-    """Edges that connect all linked objects: (region, id, n, at, lo, nlo, atlo, m) -> a, b."""
-    pairs = live.where((F.col("id") != F.col("lo")) & _can(percent, "at", "n", "atlo", "nlo")).groupBy(F.col("id").alias("a"), F.col("lo").alias("pivot")).agg(F.max("m").alias("m"))
-    stars = stored(against_pivots(pairs, items, percent, percent).select("a", "b"), "stars", small=True)
-    label = components(stars).select(F.col("node").alias("v"), "component")
-    tagged = live.join(label, F.col("id") == F.col("v"), "left").select("region", "id", "n", "at", F.coalesce("component", "id").alias("c"))
-    mixed = tagged.groupBy(F.col("region").alias("r")).agg(F.min("c").alias("cl"), F.max("c").alias("ch")).where("cl < ch")
-    rows = stored(tagged.join(mixed, F.col("region") == F.col("r")).select("region", "id", "n", "at", "c", "cl"), "mixed")
-    cells = components(rows.select(F.col("c").alias("a"), F.col("cl").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("cell"))
-    members = stored(rows.select("id", "n", "c").distinct().join(cells, F.col("c") == F.col("v")).select("cell", "id", "n", "c"), "cells", small=True)
-    large = members.groupBy(F.col("cell").alias("big")).agg(F.sum("n").alias("s")).where(F.col("s") > room).select("big")
-    small = members.join(large, F.col("cell") == F.col("big"), "left_anti")
-    edges = stars.union(stored(within_cells(small, items, percent), "cell-links", small=True))
-    rest = members.join(large, F.col("cell") == F.col("big"), "left_semi").select(F.col("id").alias("i"))
-    rest = stored(rows.join(rest, F.col("id") == F.col("i"), "left_semi").select("region", "id", "n", "at"), "large-cells", small=True)
-    return edges if rest.isEmpty() else edges.union(links(rest, items, percent))
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = 200_000, every: int = 16, room: int = ROOM) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (documents with the same set) of each document."""
     docs = text_of(docs, id_col, text_col)
     raw = stored(signatures(docs, frequent(docs, hot, every), percent), "shingle-raw")
     rows = raw.select(F.col("s1").alias("id"), "n", F.posexplode("prefix").alias("at", "region"))
     w = W.partitionBy("region")
-    first = F.min(F.struct("id", "n", "at")).over(w)
-    live = rows.withColumns({"first": first, "hi": F.max("id").over(w), "m": F.count("*").over(w)}).where("first.id < hi")
-    live = stored(live.select("region", "id", "n", "at", F.col("first.id").alias("lo"), F.col("first.n").alias("nlo"), F.col("first.at").alias("atlo"), "m").distinct(), "shingle-regions")
+    live = rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi")
+    live = stored(live.select("region", "id", "n", "at").distinct(), "shingle-regions")
     base = stored(raw.select("doc_id", "n", "s1", "s2"), "shingle-base", small=True)
     discard(raw)
     named = base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
@@ -324,7 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     items = stored(some.join(met, F.col("id") == F.col("i"), "left_semi"), "shingle-items")
     items = items if docs.where("doc_id is null").isEmpty() else items.dropDuplicates(["id"])
 
-    linked = components(joined(live, items, percent, room))
+    linked = components(links(live, items, percent, room))
     of = named.join(linked, F.col("s1") == F.col("node"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
     label = of.join(least, F.col("component") == F.col("c")).select(F.col("s1").alias("m"), "component_id")
