@@ -48,7 +48,7 @@ from .graph import components
 
 WIDTH, PERCENT, ROOM = 5, 80, 1 << 21
 BASE = "doc_id long, n long, s1 long, s2 long, prefix array<long>"
-SETS = "id long, items array<long>"
+SETS = "id long, items array<long>, marks array<short>, rest long"
 
 
 def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,12 +119,16 @@ def frequent(docs: DataFrame, hot: int, every: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """SETS of documents: the sorted shingles by the set's first sum."""
+    """SETS of documents: the sorted shingles by the set's first sum, and a tenth of their bytes to
+    bound what two sets share: 16 bits of two shingles in five, and the number of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
-            _, h, n = shingles(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), _lists(h.view(np.int64), n, pa.int64())], ["id", "items"])
+            doc, h, n = shingles(texts)
+            name = mix(h + U64(3))
+            in_part = (name >> U64(32)) % U64(5) < 2
+            some = np.bincount(doc[in_part], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), _lists(h.view(np.int64), n, pa.int64()), _lists(name[in_part].astype(np.uint16).view(np.int16), some, pa.int16()), pa.array(n - some, pa.int64())], ["id", "items", "marks", "rest"])
 
     return text_of(docs).mapInArrow(run, SETS)
 
@@ -132,39 +136,48 @@ def sets(docs: DataFrame) -> DataFrame:
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The lists of a batch's column ``items``: their bounds and all values."""
     col = batch.column("items")
-    return np.asarray(col.offsets), np.asarray(col.values).view(U64)
+    values = np.asarray(col.values)
+    return np.asarray(col.offsets), values.view(f"u{values.itemsize}")
 
 
 def against_pivots(pairs: DataFrame, items: DataFrame, percent: int, far: int) -> DataFrame:
     """(a, pivot, m) -> a, b (the pivot), zone: 0 linked (similarity at least ``percent``), 1 similarity
-    at least ``far``; others give no row. A task holds one pivot's set and streams those it meets; where
+    at least ``far``; others give no row. Most pairs meet by chance and are settled by the marks, so that
+    whole sets move only for those whose bound is at least ``far``."""
+    marked = _measured(pairs, items.select("id", F.col("marks").alias("items"), "rest"), percent, far)
+    left = pairs.join(marked.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("pivot") == F.col("y"))).select("a", "pivot", "m")
+    return _measured(stored(left, "pairs-left"), items.select("id", "items", F.lit(0).cast("long").alias("rest")), percent, far)
+
+
+def _measured(pairs: DataFrame, items: DataFrame, percent: int, far: int) -> DataFrame:
+    """The zones of pairs by what they share at most: shared items, and all of the smaller rest. A task holds one pivot's set and streams those it meets; where
     ``m``, the size of the group, is large, the pivot's objects are salted over many tasks."""
     met = pairs.select("pivot", F.when(F.col("m") > 4096, F.pmod(F.xxhash64("a"), F.lit(64))).otherwise(0).alias("salt"), "a")
     met = met.withColumn("own", F.lit(1)).union(met.select("pivot", "salt", F.col("pivot"), F.lit(0)).distinct())
-    rows = met.join(items, F.col("a") == F.col("id")).select("pivot", "salt", "own", "a", "items").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "own")
+    rows = met.join(items, F.col("a") == F.col("id")).select("pivot", "salt", "own", "a", "items", "rest").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, U64)
+        held, held_rest = np.zeros(0, U64), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             at, values = _rows(batch)
-            own, ids, pivot = (batch.column(c).to_numpy() for c in ("own", "a", "pivot"))
+            own, ids, pivot, rest = (batch.column(c).to_numpy() for c in ("own", "a", "pivot", "rest"))
             out = []
             first = np.flatnonzero(own == 0)
             for lo, hi in zip(np.concatenate([[0], first]).tolist(), np.concatenate([first, [len(own)]]).tolist(), strict=True):
                 if lo < hi and own[lo] == 0:
-                    held, lo = values[at[lo] : at[lo + 1]], lo + 1
+                    held, held_rest, lo = np.sort(values[at[lo] : at[lo + 1]]), rest[lo], lo + 1
                 if lo >= hi:
                     continue
                 some = values[at[lo] : at[hi]]
-                hit = held[np.minimum(np.searchsorted(held, some), len(held) - 1)] == some
+                hit = held[np.minimum(np.searchsorted(held, some), len(held) - 1)] == some if len(held) else np.zeros(len(some), bool)
                 sums = np.concatenate([[0], np.cumsum(hit)])
-                inter = sums[at[lo + 1 : hi + 1] - at[lo]] - sums[at[lo:hi] - at[lo]]
-                total = np.diff(at[lo : hi + 1]) + len(held)
+                sizes = np.diff(at[lo : hi + 1]) + rest[lo:hi]
+                inter = sums[at[lo + 1 : hi + 1] - at[lo]] - sums[at[lo:hi] - at[lo]] + np.minimum(rest[lo:hi], held_rest)
+                total = sizes + len(held) + held_rest
                 zone = np.where((100 + percent) * inter >= percent * total, 0, np.where((100 + far) * inter >= far * total, 1, 2))
                 out.append((ids[lo:hi][zone < 2], pivot[lo:hi][zone < 2], zone[zone < 2]))
-            held = held.copy()
             if out:
                 a, b, z = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(z, pa.int32())], ["a", "b", "zone"])
@@ -278,7 +291,7 @@ def links(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int =
         y = pivots.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
         meet = rows.join(y, F.col("region") == F.col("r")).where((F.col("id") != F.col("p")) & _can(far, "at", "n", "ap", "np"))
         pairs = meet.groupBy(F.col("id").alias("a"), F.col("p").alias("pivot")).agg(F.max("m").alias("m"))
-        zones = stored(against_pivots(pairs, items, percent, far), "zones", small=True)
+        zones = stored(against_pivots(pairs, items, percent, far), "zones")
         edges.append(zones.where("zone = 0").select("a", "b"))
         windows.append(zones.select(F.col("b").alias("p"), F.col("a").alias("id"), "zone"))
         inner = zones.where("zone = 0").select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -288,7 +301,7 @@ def links(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int =
         members = stored(rows.select("id", "n", "c").distinct().join(cells, F.col("c") == F.col("v")).select("cell", "id", "n", "c"), "cells", small=True)
         fits = members.groupBy(F.col("cell").alias("f")).agg(F.sum("n").alias("s"), F.count("*").alias("o")).where((F.col("s") <= room) & (F.col("s") * F.col("o") <= room << 12)).select("f")
         fits = members.join(fits, F.col("cell") == F.col("f"), "left_semi")
-        edges.append(stored(within_cells(fits, items, percent), "cell-links", small=True))
+        edges.append(stored(within_cells(fits, items, percent), "cell-links"))
         rows = stored(rows.join(fits.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti"), "large-cells", small=True)
         k *= growth
     if not edges:
