@@ -9,7 +9,9 @@ part them. A first cut therefore takes as regions the shingles in each object's
 global order, linked objects share a shingle among their first n - ceil(s n) + 1. Then:
 
 * the least object of each region is its pivot, and all others are measured against it: an object
-  within the radius is linked to it;
+  within the radius is linked to it. Each object meets the pivot that it shares most regions with
+  first, and its other pivots only if no chain of links has joined it to them by then; those that a
+  chain has joined need no distance, since whatever is linked to the pivot is on the same chain;
 * by the triangle inequality such an object can only link to objects within twice the radius. Those in
   that window are the boundary: they are replicated, that is, they are held to meet the pivot's
   inner objects and also stay in the region; inner objects and the pivot leave it;
@@ -19,7 +21,8 @@ global order, linked objects share a shingle among their first n - ceil(s n) + 1
   the triangle inequality, if their sizes do, and if no chain has joined them;
 * regions of larger cells recur with more pivots each, until none is left.
 
-Held meetings come last, and only between objects that no chain of links has joined by then.
+Held meetings come last, and only between objects that no chain of links has joined by then: those of
+one pivot are a cell too, and only where that is too large do pairs move.
 A group of near copies so costs one distance a member and not all pairs; pairs are never rows
 within a cell, and nothing is capped.
 
@@ -281,6 +284,21 @@ def _open_rows(rows: DataFrame, edges: list[DataFrame]) -> DataFrame:
     return stored(rows.join(sized, F.col("region") == F.col("r")).select("region", "id", "n", "at", "c", "lo", "cl", "m"), "regions")
 
 
+def _apart(pairs: DataFrame, done: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """The pairs (a, pivot, m) not in ``done`` that no chain of edges joins."""
+    label = components(reduce(DataFrame.union, edges))
+    out = pairs.join(done.select("a", "pivot"), ["a", "pivot"], "left_anti")
+    for end, name in (("a", "ca"), ("pivot", "cp")):
+        out = out.join(label.select(F.col("node").alias("v"), F.col("component").alias(name)), F.col(end) == F.col("v"), "left").drop("v")
+    return stored(out.where(F.coalesce("ca", "a") != F.coalesce("cp", "pivot")).select("a", "pivot", "m"), "pairs-apart")
+
+
+def _fitting(members: DataFrame, room: int) -> DataFrame:
+    """The members (cell, id, n, c) of cells that one task can join."""
+    fits = members.groupBy(F.col("cell").alias("f")).agg(F.sum("n").alias("s"), F.count("*").alias("o")).where((F.col("s") <= room) & (F.col("s") * F.col("o") <= room << 12)).select("f")
+    return members.join(fits, F.col("cell") == F.col("f"), "left_semi")
+
+
 def links(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int = ROOM, growth: int = 16) -> DataFrame:
     """Edges that connect all linked objects: (region, id, n, at) -> a, b."""
     far = max(0, 2 * percent - 100)  # twice the radius
@@ -288,33 +306,44 @@ def links(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int =
     rows = _open_rows(live, edges)
     while not rows.isEmpty():
         pivots = rows.where((F.col("id") == F.col("lo")) | (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) * F.col("m") < (k - 1) * (1 << 20)))
-        y = pivots.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
-        meet = rows.join(y, F.col("region") == F.col("r")).where((F.col("id") != F.col("p")) & _can(far, "at", "n", "ap", "np"))
-        pairs = meet.groupBy(F.col("id").alias("a"), F.col("p").alias("pivot")).agg(F.max("m").alias("m"))
-        zones = stored(against_pivots(pairs, items, percent, far), "zones")
+        y = pivots.select(F.col("region").alias("r"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"), F.col("c").alias("cp"))
+        meet = rows.join(y, F.col("region") == F.col("r")).where((F.col("id") != F.col("p")) & (F.col("c") != F.col("cp")) & _can(far, "at", "n", "ap", "np"))
+        pairs = stored(meet.groupBy(F.col("id").alias("a"), F.col("p").alias("pivot")).agg(F.max("m").alias("m"), F.count("*").alias("shared")), "pairs")
+        best = pairs.groupBy("a").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"), F.max("m").alias("m"))
+        zones = stored(against_pivots(best, items, percent, far), "zones")
         edges.append(zones.where("zone = 0").select("a", "b"))
+        more = stored(against_pivots(_apart(pairs, best, edges), items, percent, far), "zones")
+        edges.append(more.where("zone = 0").select("a", "b"))
+        zones = zones.union(more)
         windows.append(zones.select(F.col("b").alias("p"), F.col("a").alias("id"), "zone"))
         inner = zones.where("zone = 0").select(F.col("a").alias("x"), F.col("b").alias("y"))
         gone = meet.join(inner, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y"))).select("region", "id").union(pivots.select("region", "id")).distinct()
         rows = _open_rows(rows.join(gone, ["region", "id"], "left_anti").select("region", "id", "n", "at"), edges)
         cells = components(rows.select(F.col("c").alias("a"), F.col("cl").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("cell"))
         members = stored(rows.select("id", "n", "c").distinct().join(cells, F.col("c") == F.col("v")).select("cell", "id", "n", "c"), "cells", small=True)
-        fits = members.groupBy(F.col("cell").alias("f")).agg(F.sum("n").alias("s"), F.count("*").alias("o")).where((F.col("s") <= room) & (F.col("s") * F.col("o") <= room << 12)).select("f")
-        fits = members.join(fits, F.col("cell") == F.col("f"), "left_semi")
+        fits = _fitting(members, room)
         edges.append(stored(within_cells(fits, items, percent), "cell-links"))
         rows = stored(rows.join(fits.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti"), "large-cells", small=True)
         k *= growth
     if not edges:
         return live.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     edges = reduce(DataFrame.union, edges)
-    # inner objects meet the boundary of the same pivot, unless other links have joined them
+    # inner objects, all on their pivot's chain, meet the boundary of the same pivot that is not on it
     label = components(edges).select(F.col("node").alias("v"), "component")
     held = reduce(DataFrame.union, windows).distinct()
     held = stored(held.join(label, F.col("id") == F.col("v"), "left").select("p", "id", "zone", F.coalesce("component", "id").alias("c")), "windows", small=True)
-    ring = held.where("zone = 1").select(F.col("p").alias("r"), F.col("id").alias("pivot"), F.col("c").alias("d"))
-    cross = held.where("zone = 0").join(ring, (F.col("p") == F.col("r")) & (F.col("c") != F.col("d")))
-    cross = cross.select(F.col("id").alias("a"), "pivot").distinct().withColumn("m", F.lit(0))
-    return edges.union(against_pivots(cross, items, percent, far).where("zone = 0").select("a", "b"))
+    on = held.where("zone = 0").groupBy(F.col("p").alias("r")).agg(F.min("c").alias("cp"))
+    ring = held.where("zone = 1").join(on, (F.col("p") == F.col("r")) & (F.col("c") != F.col("cp"))).select("p", "id", "zone", "c")
+    inner = held.where("zone = 0").join(ring.select(F.col("p").alias("r")), F.col("p") == F.col("r"), "left_semi")
+    sizes = live.select(F.col("id").alias("i"), "n").distinct()
+    met = ring.union(inner).join(sizes, F.col("id") == F.col("i")).select(F.col("p").alias("cell"), "id", "zone", "n", "c")
+    met = stored(met, "meetings", small=True)
+    fits = _fitting(met, room)
+    edges = edges.union(stored(within_cells(fits, items, percent), "met-links"))
+    large = met.join(fits.select(F.col("cell").alias("f")), F.col("cell") == F.col("f"), "left_anti")
+    other = large.where("zone = 1").select(F.col("cell").alias("f"), F.col("id").alias("pivot"))
+    cross = large.where("zone = 0").join(other, F.col("cell") == F.col("f")).select(F.col("id").alias("a"), "pivot").distinct().withColumn("m", F.lit(0))
+    return edges.union(against_pivots(cross, items, percent, percent).select("a", "b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = 200_000, every: int = 16, room: int = ROOM) -> DataFrame:
