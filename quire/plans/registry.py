@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import catalogue, errors
+from quire.plans import catalogue, errors, operations
 
-MODULES = (errors, catalogue)
+MODULES = (errors, catalogue, operations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
