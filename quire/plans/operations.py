@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+from quire.operators import ledger
 from quire.plans.catalogue import FILES_SQL, USAGE_SQL, files, usage
 from quire.plans.tables import ERROR_LOG, error_log, read
 
@@ -64,4 +66,8 @@ QUERIES = {
     "storage_release": (storage_release, f"WITH {FILES_SQL} SELECT root, greatest(0, sum(size) - coalesce(sum(size) FILTER (WHERE mtime % 2 = 0), 0))::BIGINT AS \"left\" FROM files GROUP BY 1"),
     "clear_access": (clear_access, "SELECT o_orderkey, c_mktsegment <> 'HOUSEHOLD' OR o_orderstatus = 'F' AS clear FROM orders JOIN customer ON o_custkey = c_custkey"),
     "bill_pages": (lambda s, d: read(s, d, "documents").select("doc_id", F.greatest(F.lit(1).cast("long"), F.coalesce(F.floor(F.col("n_chars") / 1800), F.lit(1))).alias("pages")), "SELECT doc_id, greatest(1, coalesce(floor(n_chars / 1800), 1))::BIGINT AS pages FROM documents"),
+    "cell_ref": (lambda s, d: read(s, d, "part").select("p_partkey", T.column_number(F.concat(F.char(F.lit(65) + F.col("p_partkey") % 26), F.char(F.lit(65) + F.col("p_size") % 26), F.col("p_size").cast("string"))).alias("c")), "SELECT p_partkey, (p_partkey % 26 + 1) * 26 + p_size % 26 + 1 AS c FROM part"),
+    "sanitize_name": (lambda s, d: read(s, d, "pages").select("page_id", T.file_name(F.col("url")).alias("name")), "SELECT page_id, CASE WHEN replace(n, '_', '') = '' THEN 'document' ELSE n END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(url, '\\.[^.]*$', ''), '[^\\p{L}\\p{N}]', '_', 'g'), '_+', '_', 'g'), 1, 50) AS n FROM pages)"),
+    "carry_over": (lambda s, d: usage(s, d).select("usage_id", ledger.carry_over(F.col("user_id") * 60, F.col("pages") * 100, F.lit(300)).alias("seconds")), f"WITH {USAGE_SQL} SELECT usage_id, floor(user_id * 60 * pages * 100 / 300)::BIGINT AS seconds FROM usage"),
+    "plan_offer": (lambda s, d: usage(s, d).select("usage_id", (F.lit(900) * F.when(F.col("usage_id") % 2 == 0, 12).otherwise(1)).cast("long").alias("total")), f"WITH {USAGE_SQL} SELECT usage_id, (900 * CASE WHEN usage_id % 2 = 0 THEN 12 ELSE 1 END)::BIGINT AS total FROM usage"),
 }
