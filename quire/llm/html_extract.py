@@ -9,8 +9,8 @@ lines in elements that name themselves as page furniture (nav, footer, class "ad
 where no neighbour has them.
 
 Sorting cuts the key space at a bounded, hash-chosen sample of keys, so that one host may spread
-over many tasks; a page whose host has no other page in its range has no pair and loses nothing
-by alignment.
+over many tasks. The first and last pages of each range are copied into the ranges around it (past
+empty ones), so that every page sees its true neighbours and the text does not depend on the cuts.
 
 Defined cases: null or empty html gives an empty text; null URLs form a host of their own;
 repeated rows pair with each other; an empty table returns no row; other columns are ignored.
@@ -160,6 +160,20 @@ URL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)([^?#]*)"
 ROWS = "page_id long, url string, text string, n_chars long"
 
 
+def _with_edges(p: DataFrame) -> DataFrame:
+    """The ranged pages, and as copies the last page before each range and the first after it."""
+    p = p.withColumn("tie", F.xxhash64("url", "html"))
+    page = F.struct("key", "tie", "page_id", "url", "host", "path")
+    ends = p.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last")).collect()
+    ends.sort(key=lambda r: r["range"])
+    copies = [(*before["last"], after["range"]) for before, after in zip(ends, ends[1:], strict=False)]
+    copies += [(*after["first"], before["range"]) for before, after in zip(ends, ends[1:], strict=False)]
+    at = p.sparkSession.createDataFrame(copies, "key string, tie long, page_id long, url string, host string, path string, to int").select("key", "tie", "to")
+    found = p.join(F.broadcast(at), ["key", "tie"]).groupBy("key", "tie", "to").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "html", "host", "path")])
+    copied = found.withColumnRenamed("to", "range").withColumn("copy", F.lit(True))
+    return p.withColumn("copy", F.lit(False)).unionByName(copied)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_range: int = 2_000) -> DataFrame:
     """page_id, url, text, n_chars of every page: one shuffle, a sorted stream in each task."""
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
@@ -178,9 +192,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield b.append_column("range", pa.array([bisect.bisect_right(cuts, k) for k in b.column("key").to_pylist()], pa.int32()))
 
     if cuts:
-        p = p.mapInArrow(ranged, "page_id long, url string, html string, host string, path string, key string, range int").repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "key")
+        p = p.mapInArrow(ranged, "page_id long, url string, html string, host string, path string, key string, range int")
+        p = _with_edges(p).repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "key", "tie")
     else:
-        p = p.withColumn("range", F.lit(0)).repartition(1).sortWithinPartitions("key")
+        p = p.withColumns({"range": F.lit(0), "copy": F.lit(False), "tie": F.xxhash64("url", "html")}).repartition(1).sortWithinPartitions("key", "tie")
 
     def near(x: tuple, y: tuple | None) -> int:
         return -1 if y is None or y[2:4] != x[2:4] else len(commonprefix([x[4], y[4]]))
@@ -202,15 +217,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         for b in batches:
             for r in range(0, b.num_rows, 256):
-                for row in zip(*(b.column(c).slice(r, 256).to_pylist() for c in ("page_id", "url", "range", "host", "path", "html")), strict=True):
-                    new = (*row[:5], lines(row[5]))
-                    if now is not None:
+                for row in zip(*(b.column(c).slice(r, 256).to_pylist() for c in ("page_id", "url", "range", "host", "path", "html", "copy")), strict=True):
+                    new = (*row[:5], lines(row[5]), row[6])
+                    if now is not None and not now[6]:
                         done(now, before, new)
                     before, now = now, new
                 if out:
                     yield table()
-        if now is not None:
+        if now is not None and not now[6]:
             done(now, before, None)
             yield table()
 
-    return p.select("page_id", "url", "range", "host", "path", "html").mapInArrow(run, ROWS)
+    return p.select("page_id", "url", "range", "host", "path", "html", "copy").mapInArrow(run, ROWS)

@@ -100,6 +100,15 @@ def test_html_table(spark):
     assert got == {1: "one", 2: "two", 3: "", 4: "alone"}
 
 
+def test_html_table_cuts(spark):
+    """Pages at the cuts see their neighbours beyond them: the text does not depend on the ranges."""
+    pages = [(i, f"http://h{i // 2:03}/p/{i}", f"<p>menu {i // 2}</p><p>text {i}</p><p>end {i // 2}</p>") for i in range(120)]
+    d = spark.createDataFrame([*pages, (None, None, None), (120, "http://z/", "<p>alone</p>")], "page_id long, url string, html string")
+    for size in (2, 3, 7, 1000):
+        got = {r.page_id: r.text for r in html_extract.extract(d, per_range=size).collect()}
+        assert got == {i: f"text {i}" for i in range(120)} | {None: "", 120: "alone"}, size
+
+
 def test_quality(docs):
     got = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
     for i, t in enumerate(TEXTS):
