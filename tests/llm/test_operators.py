@@ -47,6 +47,15 @@ def test_suffix_tree(docs):
     assert all(joined[i] == pytest.approx(got[i].score) for i in got)
 
 
+def test_suffix_tree_vocabulary(docs):
+    """How many words are at hand in each task changes no score: no word is cut by rank."""
+    whole = {r.doc_id: r for r in suffix_tree.score(docs, support=2).collect()}
+    few = {r.doc_id: r for r in suffix_tree.score(docs, support=2, vocabulary=3).collect()}
+    assert any(r.score != pytest.approx(r.base_score) for r in whole.values())
+    for i, r in whole.items():
+        assert (few[i].n_known, few[i].base_score, few[i].score) == (r.n_known, pytest.approx(r.base_score), pytest.approx(r.score))
+
+
 def test_repeats(docs):
     raw = [(t or "").encode() for t in TEXTS]
     c = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
