@@ -56,6 +56,61 @@ def test_suffix_tree_vocabulary(docs):
         assert (few[i].n_known, few[i].base_score, few[i].score) == (r.n_known, pytest.approx(r.base_score), pytest.approx(r.score))
 
 
+def suffix_tree_scores(texts, support):
+    """Scores by trying every context of every length, and the words of the longest retained one."""
+    low = [(t or "").lower().split() + [None] for t in texts]
+    train = [ws for i, ws in enumerate(low) if zlib.crc32(str(i).encode()) % 10]
+    one = Counter(w for ws in train for w in ws)
+    total, n = sum(one.values()), len(one)
+    root = {w: (c + 0.1) / (total + 0.1 * (n + 1)) for w, c in one.items()}
+    rest = 0.1 / (total + 0.1 * (n + 1))
+    held, k = {}, 1
+    after = {(): one}
+
+    def prob(context, w):
+        for i in range(len(context)):
+            if context[i:] in held:
+                symbols, weight = held[context[i:]]
+                return symbols[w] if w in symbols else weight * prob(context[i + 1 :], w)
+        return root.get(w, rest)
+
+    while after:
+        after = {}
+        for ws in train:
+            for i in range(k, len(ws)):
+                after.setdefault(tuple(ws[i - k : i]), Counter())[ws[i]] += 1
+        level = {}
+        for s, cs in after.items():
+            m, some = sum(cs.values()), {w: c for w, c in cs.items() if c >= support}
+            if not some:
+                continue
+            q = {w: prob(s[1:], w) for w in some}
+            f, qs = {w: c / m for w, c in some.items()}, sum(q.values())
+            other = 1 - sum(f.values())
+            kl = sum(f[w] * np.log(f[w] / q[w]) for w in some) + (other * np.log(other / (1 - qs)) if other > 1e-12 and qs < 1 else 0)
+            if m * kl > len(some) * 0.5 * np.log(total) and qs < 1:
+                p = {w: (c - 0.5) / m for w, c in some.items()}
+                level[s] = p, (1 - sum(p.values())) / (1 - qs)
+        held |= level
+        k += 1
+    return [sum(np.log10(prob(tuple(ws[:i]), w)) for i, w in enumerate(ws)) for ws in low], max(map(len, held))
+
+
+def test_suffix_tree_depth(spark):
+    """Contexts of any length: symbols that only a word far back tells apart."""
+    rng = random.Random(3)
+    texts = [text(30) for _ in range(20)]
+    for _ in range(200):
+        a = rng.randrange(4)
+        texts.append(f"{text(3)} from{a} one two three four five six then to{a if rng.random() < 0.9 else rng.randrange(4)} {text(4)}")
+    want, deepest = suffix_tree_scores(texts, 8)
+    assert deepest == 8
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for most in (1 << 22, 0):
+        got = {r.doc_id: r.score for r in suffix_tree.score(d, broadcast=most).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_repeats(docs):
     raw = [(t or "").encode() for t in TEXTS]
     c = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
