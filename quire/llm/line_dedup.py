@@ -1,13 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Distinct lines of at least ``min_chars`` characters are split into threshold + 1 segments; two
-lines within the threshold share a segment, whose place in the longer line is bounded by the
-length difference and the edits to its left and right. Segments (indexed by line length) and those
-substrings (probes) meet as hashed keys; only keys of two lines or more survive, and their pairs
-are verified by a banded bit-parallel edit distance. Lines linked by chains of such pairs are one
-class, and only the first line of a class, by document id and position, stays.
+Two lines are near if they differ by at most one edit for each 40 characters of the shorter one, by
+two where that is less, and by one for each 8 characters of lines under 16. Lines of up to 119
+characters are split into threshold + 1 segments; two within the threshold share a segment, whose
+place in the longer line is bounded by the length difference and the edits to its left and right.
+Segments (indexed by line length) and those substrings (probes) meet as hashed keys. Longer near
+lines have 30 characters in a row in common, and so share the least hash of a window of its strings
+of 15. Pairs of one key are verified by their edit distance. Lines linked by chains of such pairs are
+one class, and only the first line of a class, by document id and position, stays.
 
-Shorter lines are copies only if they are equal. Lines without a word always stay.
+Lines of under 8 characters are copies only if they are equal. Lines without a word always stay.
 
 Defined cases: a null text is empty (one line, kept); null ids sort first; rows that repeat both id
 and text are one document and return as often as they come; an empty table returns no row; other
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 from .graph import components
 
-THRESHOLD, MIN_CHARS = 2, 32
+#: Edits allowed: one for each SHARE characters; at least THRESHOLD, or one for each 8 of a shorter line.
+THRESHOLD, SHARE = 2, 40
+#: From LONG characters on, lines within the edits have GRAM + WINDOW - 1 in a row in common.
+LONG, GRAM, WINDOW = 120, 15, 16
 
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -125,22 +130,54 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return stored(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
 
 
-def links(lines: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): ids of distinct lines within ``tau`` edits of each other; every such pair once."""
-    rows = lines.where(F.length("line") >= min_chars).select("id", F.explode(keys(F.col("line"), tau)).alias("k")).select("id", "k.key", "k.own")
+def allowed(n: Column) -> Column:
+    """Edits by which a line of ``n`` characters, the shorter of two, may differ from the other."""
+    return F.greatest(F.least(F.floor(n / 8), F.lit(THRESHOLD)), F.floor(n / SHARE)).cast("int")
+
+
+def anchors(line: Column) -> Column:
+    """Hashes of the GRAM-character strings that are least in a window of WINDOW of them: lines that
+    have GRAM + WINDOW - 1 characters in a row in common share one."""
+    n = F.length(line)
+    grams = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.xxhash64(F.substring(line, i, F.lit(GRAM))))
+    return _let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM + WINDOW - 2)), lambda i: F.array_min(F.slice(g, i, F.lit(WINDOW))))))
+
+
+def links(lines: DataFrame) -> DataFrame:
+    """(a, b): ids of distinct lines within the edits allowed; they link each pair's lines by chains.
+
+    A line first meets the first line of each of its keys; then only lines of one key that no chain
+    links yet meet, so that a large group of near copies is not a square of pairs."""
+    n = F.length("line")
+    # the shorter line's length decides which keys a pair shares
+    short = lines.where((n >= 8) & (n <= 16)).select("id", F.explode(keys(F.col("line"), 1)).alias("k")).select("id", F.xxhash64(F.lit(1), "k.key").alias("key"), "k.own")
+    middle = lines.where((n >= 16) & (n < LONG + THRESHOLD)).select("id", F.explode(keys(F.col("line"), THRESHOLD)).alias("k")).select("id", F.xxhash64(F.lit(2), "k.key").alias("key"), "k.own")
+    long = lines.where(n >= LONG).select("id", F.explode(anchors(F.col("line"))).alias("key")).select("id", F.xxhash64(F.lit(3), "key").alias("key"), F.lit(True).alias("own"))
+    rows = short.union(middle).union(long)
     w = W.partitionBy("key")
-    live = stored(rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi").select("key", "id", "own"), "line-keys")
-    used = lines.join(live.select(F.col("id").alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi").select("id", "line", *letters(F.col("line")))
+    live = stored(rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi").select("key", "lo", "id", "own"), "line-keys")
+    used = lines.join(live.select(F.col("id").alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi").select("id", "line", F.length("line").alias("n"), *letters(F.col("line")))
     used = stored(used, "line-texts", small=True)
     # an edit changes two letter counts by one at most: most chance meetings end here, unemitted
     counts = [c for c in used.columns if c not in ("id", "line")]
-    met = live.join(used.select(F.col("id").alias("i"), *counts), F.col("id") == F.col("i")).drop("i")
-    own = met.where("own").select(F.col("key").alias("k"), F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in counts])
-    apart = reduce(lambda x, y: x + y, [F.abs(F.col(c) - F.col(f"a_{c}")) for c in counts])
-    pairs = own.join(met, (F.col("k") == F.col("key")) & (F.col("a") != F.col("id")) & (apart <= 2 * tau)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    text = used.select("id", "line")
-    both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
-    return stored(both.where(within("x", "y", tau)).select("a", "b"), "line-links", small=True)
+    side = lambda x: used.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in counts])
+    tau = allowed(F.least("a_n", "b_n"))
+    apart = reduce(lambda x, y: x + y, [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts if c != "n"])
+    may = (F.abs(F.col("a_n") - F.col("b_n")) <= tau) & (apart <= 2 * tau)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        text = used.select("id", "line")
+        both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").withColumn("tau", allowed(F.least(F.length("x"), F.length("y"))))
+        return stored(both.where("levenshtein(x, y, tau) >= 0").select("a", "b"), name, small=True)
+
+    first = live.where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    first = verified(first.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), "line-links")
+    of = components(first, native=True)
+    met = live.select("key", "id", "own").join(of, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("component", "id").alias("of"))
+    own = met.where("own").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("of").alias("a_of")).join(side("a"), "a")
+    met = met.withColumnRenamed("id", "b").join(side("b"), "b")
+    pairs = own.join(met, (F.col("k") == F.col("key")) & (F.col("a_of") != F.col("of")) & may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return first.union(verified(pairs, "line-links"))
 
 
 def letters(line: Column) -> list[Column]:
@@ -149,13 +186,13 @@ def letters(line: Column) -> list[Column]:
     return [(F.length(line) - F.length(F.translate(line, x, ""))).alias(f"n_{x[0]}") for x in pairs]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text reduced to its kept lines, and __n_lines, __n_equal, __n_near: lines,
     removed as equal to an earlier one, removed as near one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(id_col), text).alias("__key"), text.alias("__text"))
     lines = distinct_lines(d)
-    linked = components(links(lines, tau, min_chars), native=True)
+    linked = components(links(lines), native=True)
     # the first place of each class, for the lines of classes of two lines or more
     member = lines.select("id", "first").join(linked, F.col("id") == F.col("node"))
     class_first = member.groupBy("component").agg(F.min("first").alias("cf")).withColumnRenamed("component", "c")

@@ -196,6 +196,42 @@ def test_lines(spark):
     assert line_dedup.dedup(d.limit(0)).count() == 0
 
 
+def test_lines_share(spark):
+    """Longer lines may differ by more edits, and short ones by one or two: classes by brute force."""
+    def lev(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            c = [i]
+            for j, y in enumerate(b, 1):
+                c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y)))
+            p = c
+        return p[-1]
+
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    made = ["Ly. Reonhe onble.", "Ly reonhe onble."]
+    for n in (6, 9, 15, 16, 31, 50, 119, 121, 160, 205, 240):
+        first = "w" + letters(n - 1)
+        for edits in (0, 1, 2, 3, 4, 5, 6, 7, 9):
+            line = list(first)
+            for _ in range(edits):
+                at = rng.randrange(1, len(line))
+                line[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "x", "y"])
+            made.append("".join(line))
+    made = list(dict.fromkeys(made))
+    up = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            n = min(len(made[i]), len(made[j]))
+            if up[i] != up[j] and lev(made[i], made[j]) <= max(min(n // 8, 2), n // 40):
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert up[1] == 0
+    got = {r.doc_id: r["__n_near"] for r in line_dedup.dedup(d).collect()}
+    assert got == {i: int(up[i] != i) for i in range(len(made))}
+
+
 def test_edit_distance(spark):
     def lev(a, b):
         p = list(range(len(b) + 1))
