@@ -24,11 +24,13 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own."""
+    Only a local session may lack that setting, as in tests: it gets a folder of its own. On a cluster
+    a machine's own folder would be seen by that machine alone, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file:///tmp/quire-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
@@ -62,6 +64,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by as many underscores as none of them needs to clash with a column."""
+    taken, names = {c.lower() for c in df.columns}, list(names)
+    while taken & {n.lower() for n in names} or any(t.startswith(n.lower()) for t in taken for n in names):
+        names = [f"_{n}" for n in names]
+    return names
+
+
 def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), whatever else the table holds."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

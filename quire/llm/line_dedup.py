@@ -1,60 +1,69 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Two lines are near if they differ by at most one edit for each 40 characters of the shorter one, by
-two where that is less, and by one for each 8 characters of lines under 16. Lines of up to 119
-characters are split into threshold + 1 segments; two within the threshold share a segment, whose
-place in the longer line is bounded by the length difference and the edits to its left and right.
-Segments (indexed by line length) and those substrings (probes) meet as hashed keys. Longer near
-lines have 30 characters in a row in common, and so share the least hash of a window of its strings
-of 15. Pairs of one key are verified by their edit distance. Lines linked by chains of such pairs are
-one class, and only the first line of a class, by document id and position, stays.
-
-Lines of under 8 characters are copies only if they are equal. Lines without a word always stay.
+Two lines are near if their UTF-8 bytes differ by no more edits than the class of the shorter one
+allows: none below 8 bytes (copies only if equal), one below 16, two beyond, unless other classes are given. Distinct lines are split into threshold + 1
+segments; two lines within the threshold share a segment, whose place in the longer line is bounded by the
+length difference and the edits to its left and right. Segments (indexed by line length) and those
+substrings (probes) meet as hashed keys; only keys of two lines or more survive, and candidate pairs
+are verified by a banded bit-parallel edit distance. Lines linked by chains of such pairs are one
+class, and only the first line of a class, by document id and position, stays. Lines without a word
+always stay.
+
+The distinct lines are written bucketed by their hash, so that the texts of candidates are joined
+without moving the other lines again.
 
 Defined cases: a null text is empty (one line, kept); null ids sort first; rows that repeat both id
 and text are one document and return as often as they come; an empty table returns no row; other
-columns pass through untouched whatever their names.
+columns pass through untouched whatever their names. Lines are named by 64-bit hashes; of two lines
+with one hash only the earlier takes part in near classes, the other stays.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, discard, fresh, release, scratch, stored
 from .graph import components
 
-#: Edits allowed: one for each SHARE characters; at least THRESHOLD, or one for each 8 of a shorter line.
-THRESHOLD, SHARE = 2, 40
-#: From LONG characters on, lines within the edits have GRAM + WINDOW - 1 in a row in common.
-LONG, GRAM, WINDOW = 120, 15, 16
+#: (threshold, bytes from which it holds), both rising. A line has 4 keys at threshold 1, 12 at 2, 26
+#: at 3, and about 2 tau^2 + 2 tau + 1 beyond: each step costs that share of the run.
+Classes = tuple[tuple[int, int], ...]
+CLASSES: Classes = ((1, 8), (2, 16))
+
+
+def allowed(n: Column, classes: Classes) -> Column:
+    """Edits by which a line of ``n`` bytes, the shorter of two, may differ from the other."""
+    return reduce(lambda out, c: F.when(n >= c[1], c[0]).otherwise(out), classes, F.lit(0))
 
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 1) of a line; the last ones are longer."""
-    base = F.floor(length / (tau + 1))
+    base = F.shiftright(length, 1) if tau == 1 else F.floor(length / (tau + 1)).cast("int")
     longer = length - base * (tau + 1)  # this many segments at the end have one more
     start = base * (i - 1) + F.greatest(F.lit(0), longer - (tau + 1 - (i - 1))) + 1
     return start.cast("int"), (base + F.when(longer >= tau + 2 - i, 1).otherwise(0)).cast("int")
 
 
-def _key(line: Column, length: Column, i: int, shift: int, tau: int) -> Column:
-    start, size = _segment(length, i, tau)
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + shift, size))
+def keys(line: Column, n: Column, tau: int) -> Column:
+    """The line's index keys (odd) and probe keys (even), the latter for lengths down to tau below
+    its own; the places follow from at most i - 1 edits left of segment i and tau + 1 - i right of it.
+    line: its bytes, n: their number."""
 
+    def key(gap: int, i: int, shift: int, own: bool) -> Column:
+        start, size = _segment(n - gap, i, tau)
+        h = F.xxhash64(((n - gap) * 64 + tau) * 64 + i, F.substring(line, start + shift, size))
+        return h.bitwiseOR(F.lit(1)) if own else h.bitwiseAND(F.lit(-2))
 
-def keys(line: Column, tau: int) -> Column:
-    """The line's index keys (own) and probe keys, the latter for lengths down to tau below its
-    own; the places follow from at most i - 1 edits left of segment i and tau + 1 - i right of it."""
-    n = F.length(line)
-    out = [F.struct(_key(line, n, i, 0, tau).alias("key"), F.lit(True).alias("own")) for i in range(1, tau + 2)]
+    out = [key(0, i, 0, True) for i in range(1, tau + 2)]
     for gap in range(tau + 1):
         for i in range(1, tau + 2):
             lo, hi = max(1 - i, gap - (tau + 1 - i)), min(i - 1, gap + (tau + 1 - i))
-            out += [F.struct(_key(line, n - gap, i, s, tau).alias("key"), F.lit(False).alias("own")) for s in range(lo, hi + 1) if gap or s]
+            out += [key(gap, i, s, False) for s in range(lo, hi + 1) if gap or s]
     return F.array(*out)
 
 
@@ -69,7 +78,10 @@ def within(a: str, b: str, tau: int) -> Column:
 
     Equal ends are cut off; over the rest runs a banded bit-parallel automaton: after j characters
     of b, bit d + tau of field k says that j + d characters of a match with at most k edits. The
-    tau + 1 fields of 2 tau + 1 bits are one integer, and a character updates all of them."""
+    tau + 1 fields of 2 tau + 1 bits are one integer, and a character updates all of them. From five
+    edits on they don't fit into one; the built-in banded distance verifies then."""
+    if tau > 4:
+        return F.levenshtein(a, b, tau) >= 0
     width = 2 * tau + 1
     full = (1 << width) - 1
 
@@ -123,52 +135,57 @@ def _chars(s: Column) -> Column:
     return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id, line, n (times it comes), first (its first place) of each distinct line with a word."""
-    lines = docs.select("__doc", "__key", F.posexplode(F.split(F.coalesce("__text", F.lit("")), "\n")).alias("__pos", "line")).where(F.col("line").rlike(WORD))
-    grouped = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("__doc", "__key", "__pos")).alias("first"))
-    return stored(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
-
+def distinct_lines(docs: DataFrame) -> tuple[DataFrame, str]:
+    """id, line, n (times it comes), first (its first place) of each distinct line with a word, as a
+    table bucketed by id, and the table's name."""
+    spark = docs.sparkSession
+    lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD))
+    grouped = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "pos", "line")).alias("x"))
+    out = grouped.select("id", "n", F.struct("x.doc", "x.key", "x.pos").alias("first"), F.col("x.line").alias("line"))
+    name = f"quire_lines_{uuid.uuid4().hex}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out.write.bucketBy(buckets, "id").option("compression", "zstd").option("path", scratch(spark, "lines")).saveAsTable(name)
+    release(spark)
+    return spark.table(name), name
 
-def allowed(n: Column) -> Column:
-    """Edits by which a line of ``n`` characters, the shorter of two, may differ from the other."""
-    return F.greatest(F.least(F.floor(n / 8), F.lit(THRESHOLD)), F.floor(n / SHARE)).cast("int")
 
-
-def anchors(line: Column) -> Column:
-    """Hashes of the GRAM-character strings that are least in a window of WINDOW of them: lines that
-    have GRAM + WINDOW - 1 characters in a row in common share one."""
-    n = F.length(line)
-    grams = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.xxhash64(F.substring(line, i, F.lit(GRAM))))
-    return _let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM + WINDOW - 2)), lambda i: F.array_min(F.slice(g, i, F.lit(WINDOW))))))
+def letters(line: Column) -> list[Column]:
+    """How often each pair of neighbours of the alphabet comes in a line."""
+    pairs = ["".join(chr(c) + chr(c).upper() for c in (i, i + 1)) for i in range(ord("a"), ord("z"), 2)]
+    return [(F.length(line) - F.length(F.translate(line, x, ""))).alias(f"n_{x[0]}") for x in pairs]
 
 
-def links(lines: DataFrame) -> DataFrame:
+def links(lines: DataFrame, classes: Classes = CLASSES) -> DataFrame:
     """(a, b): ids of distinct lines within the edits allowed; they link each pair's lines by chains.
 
     A line first meets the first line of each of its keys; then only lines of one key that no chain
     links yet meet, so that a large group of near copies is not a square of pairs."""
-    n = F.length("line")
-    # the shorter line's length decides which keys a pair shares
-    short = lines.where((n >= 8) & (n <= 16)).select("id", F.explode(keys(F.col("line"), 1)).alias("k")).select("id", F.xxhash64(F.lit(1), "k.key").alias("key"), "k.own")
-    middle = lines.where((n >= 16) & (n < LONG + THRESHOLD)).select("id", F.explode(keys(F.col("line"), THRESHOLD)).alias("k")).select("id", F.xxhash64(F.lit(2), "k.key").alias("key"), "k.own")
-    long = lines.where(n >= LONG).select("id", F.explode(anchors(F.col("line"))).alias("key")).select("id", F.xxhash64(F.lit(3), "key").alias("key"), F.lit(True).alias("own"))
-    rows = short.union(middle).union(long)
-    w = W.partitionBy("key")
-    live = stored(rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi").select("key", "lo", "id", "own"), "line-keys")
-    used = lines.join(live.select(F.col("id").alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi").select("id", "line", F.length("line").alias("n"), *letters(F.col("line")))
-    used = stored(used, "line-texts", small=True)
+    sized = lines.select("id", F.col("line").cast("binary").alias("line"), F.octet_length("line").alias("n"))
+    some = []
+    for (tau, lo), above in zip(classes, (*[c[1] for c in classes[1:]], None), strict=True):
+        mine = sized.where(F.col("n") >= lo)
+        mine = mine if above is None else mine.where(F.col("n") < above + tau)  # the longer line of a pair may be in the next class
+        some.append(mine.select("id", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("k")))
+    rows = reduce(DataFrame.union, some)
+    w = W.partitionBy(F.shiftright("k", 1))
+    live = rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo < hi")
+    live = stored(live.select(F.shiftright("k", 1).alias("key"), "lo", "id", (F.col("k").bitwiseAND(F.lit(1)) == 1).alias("own")), "line-keys")
+    used = lines.join(live.select("id").distinct().hint("merge"), "id", "left_semi")
+    plain = F.decode(F.col("line").cast("binary"), "ISO-8859-1")  # a character for each byte
+    used = stored(used.select("id", F.octet_length("line").alias("n"), plain.alias("line"), *letters(F.col("line"))), "line-texts", small=True)
     # an edit changes two letter counts by one at most: most chance meetings end here, unemitted
     counts = [c for c in used.columns if c not in ("id", "line")]
     side = lambda x: used.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in counts])
-    tau = allowed(F.least("a_n", "b_n"))
+    tau = allowed(F.least("a_n", "b_n"), classes)
     apart = reduce(lambda x, y: x + y, [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts if c != "n"])
     may = (F.abs(F.col("a_n") - F.col("b_n")) <= tau) & (apart <= 2 * tau)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        text = used.select("id", "line")
-        both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").withColumn("tau", allowed(F.least(F.length("x"), F.length("y"))))
-        return stored(both.where("levenshtein(x, y, tau) >= 0").select("a", "b"), name, small=True)
+        text = used.select("id", "line", "n")
+        both = pairs.join(text.toDF("a", "x", "nx"), "a").join(text.toDF("b", "y", "ny"), "b")
+        edits = allowed(F.least("nx", "ny"), classes)
+        near = reduce(lambda out, c: F.when(edits == c[0], within("x", "y", c[0])).otherwise(out), classes, F.lit(False))
+        return stored(both.where(near).select("a", "b"), name, small=True)
 
     first = live.where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     first = verified(first.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), "line-links")
@@ -177,39 +194,49 @@ def links(lines: DataFrame) -> DataFrame:
     own = met.where("own").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("of").alias("a_of")).join(side("a"), "a")
     met = met.withColumnRenamed("id", "b").join(side("b"), "b")
     pairs = own.join(met, (F.col("k") == F.col("key")) & (F.col("a_of") != F.col("of")) & may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.union(verified(pairs, "line-links"))
+    rest = verified(pairs, "line-links")
+    discard(live)
+    discard(used)
+    return first.union(rest)
 
 
-def letters(line: Column) -> list[Column]:
-    """How often each pair of neighbours of the alphabet comes in a line."""
-    pairs = ["".join(chr(c) + chr(c).upper() for c in (i, i + 1)) for i in range(ord("a"), ord("z"), 2)]
-    return [(F.length(line) - F.length(F.translate(line, x, ""))).alias(f"n_{x[0]}") for x in pairs]
+COUNTS = ("__n_lines", "__n_equal", "__n_near")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text reduced to its kept lines, and __n_lines, __n_equal, __n_near: lines,
-    removed as equal to an earlier one, removed as near one."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Classes = CLASSES) -> DataFrame:
+    """``docs`` with the text reduced to its kept lines, and as its last three columns the number of
+    lines, of those removed as equal to an earlier one, and of those removed as near one (COUNTS;
+    longer names where ``docs`` has these)."""
+    spark = docs.sparkSession
+    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(id_col), text).alias("__key"), text.alias("__text"))
-    lines = distinct_lines(d)
-    linked = components(links(lines), native=True)
+    key = F.xxhash64(F.col(id_col), text)
+    d = docs.select(id_.alias("doc"), key.alias("key"), text.alias("text"))
+    lines, name = distinct_lines(d)
+    linked = components(links(lines, classes), native=True)
     # the first place of each class, for the lines of classes of two lines or more
-    member = lines.select("id", "first").join(linked, F.col("id") == F.col("node"))
+    member = lines.select("id", "first").join(linked.hint("merge"), F.col("id") == F.col("node"))
+    member = stored(member.select("id", "first", "component"), "line-members", small=True)
     class_first = member.groupBy("component").agg(F.min("first").alias("cf")).withColumnRenamed("component", "c")
     near = stored(member.join(class_first, F.col("component") == F.col("c")).select("id", "cf"), "line-classes", small=True)
-    busy = lines.join(near.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").where("n > 1 or cf is not null")
-    busy = busy.select(F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.length("line").alias("len"), "first", F.coalesce("cf", "first").alias("cf"))
-    at = d.select("__doc", "__key", F.posexplode(F.split("__text", "\n")).alias("__pos", "line"))
-    at = at.select(F.struct("__doc", "__key", "__pos").alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.length("line").alias("len"))
-    gone = at.join(busy, ["h", "h2", "len"]).where("at <> cf").select("at.__doc", "at.__key", "at.__pos", (F.col("first") == F.col("cf")).alias("equal"))
+    busy = lines.join(near.hint("merge"), "id", "left").where("n > 1 or cf is not null")
+    busy = busy.select(F.col("id").alias("h"), F.hash("line").alias("h2"), F.length("line").alias("len"), "first", F.coalesce("cf", "first").alias("cf"))
+    at = d.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD))
+    at = at.select(F.struct("doc", "key", "pos").alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.length("line").alias("len"))
+    gone = at.join(busy, ["h", "h2", "len"]).where("at <> cf").select("at.doc", "at.key", "at.pos", (F.col("first") == F.col("cf")).alias("equal"))
     # an equal line may also be a copy within a near class: it counts as near only if its text differs from the first's
-    gone = stored(gone.distinct(), "line-gone")
-    per = gone.groupBy("__doc", "__key").agg(F.collect_set(F.col("__pos")).alias("__gone"), F.count_if("equal").alias("__eq")).toDF("__d", "__k", "__gone", "__eq")
-    whole = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__key": F.xxhash64(F.col(id_col), text)})
-    out = whole.join(per.hint("shuffle_hash"), (F.col("__doc") == F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    gone = stored(gone.distinct(), "line-gone", small=True)
+    spark.sql(f"DROP TABLE {name}")
+    discard(lines)
+    n, e, g, i, k = fresh(docs, "__doc", "__equal", "__gone", "__id", "__key")
+    per = gone.groupBy("doc", "key").agg(F.collect_list("pos").alias(g), F.count_if("equal").alias(e)).withColumnsRenamed({"doc": i, "key": k})
+    whole = docs.withColumns({n: id_, f"{k}x": key})
+    out = whole.join(per.hint("shuffle_hash"), (F.col(n) == F.col(i)) & (F.col(f"{k}x") == F.col(k)), "left")
     every = F.split(text, "\n")
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    n_gone = F.coalesce(F.size(F.col("__gone")), F.lit(0))
-    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(n_gone)
-    out = out.withColumns({"__n_lines": F.size(every).cast("long"), "__n_equal": F.coalesce("__eq", F.lit(0)).cast("long"), "__n_near": (n_gone - F.coalesce("__eq", F.lit(0))).cast("long"), "__kept": kept})
-    return out.withColumn(text_col, F.col("__kept")).select(*docs.columns, "__n_lines", "__n_equal", "__n_near")
+    # a lookup by place: no search through the removed lines for each line
+    rest = _let(every, lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col(g)), lambda at: F.get(v, at)), "\n"))
+    equal = F.coalesce(F.col(e), F.lit(0)).cast("long")
+    names = fresh(docs, *COUNTS)
+    more = [F.size(every).cast("long").alias(names[0]), equal.alias(names[1]), (F.coalesce(F.array_size(g), F.lit(0)) - equal).cast("long").alias(names[2])]
+    kept = F.when(F.col(g).isNull(), text).otherwise(rest).alias(text_col)
+    return out.select(*[kept if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)

@@ -199,6 +199,7 @@ def test_lines(spark):
 def test_lines_share(spark):
     """Longer lines may differ by more edits, and short ones by one or two: classes by brute force."""
     def lev(a, b):
+        a, b = a.encode(), b.encode()
         p = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             c = [i]
@@ -219,17 +220,30 @@ def test_lines_share(spark):
                 line[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "x", "y"])
             made.append("".join(line))
     made = list(dict.fromkeys(made))
-    up = list(range(len(made)))
-    for i in range(len(made)):
-        for j in range(i):
-            n = min(len(made[i]), len(made[j]))
-            if up[i] != up[j] and lev(made[i], made[j]) <= max(min(n // 8, 2), n // 40):
-                lo, hi = sorted((up[i], up[j]))
-                up = [lo if x == hi else x for x in up]
     d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    assert up[1] == 0
-    got = {r.doc_id: r["__n_near"] for r in line_dedup.dedup(d).collect()}
-    assert got == {i: int(up[i] != i) for i in range(len(made))}
+    by_share = ((1, 8), (2, 16), (3, 120), (4, 160), (5, 200), (6, 240))
+    for classes, most in ((by_share, lambda n: max(min(n // 8, 2), n // 40)), (line_dedup.CLASSES, lambda n: min(n // 8, 2))):
+        up = list(range(len(made)))
+        for i in range(len(made)):
+            for j in range(i):
+                if up[i] != up[j] and lev(made[i], made[j]) <= most(min(len(made[i].encode()), len(made[j].encode()))):
+                    lo, hi = sorted((up[i], up[j]))
+                    up = [lo if x == hi else x for x in up]
+        assert up[1] == 0
+        got = {r.doc_id: r["__n_near"] for r in line_dedup.dedup(d, classes=classes).collect()}
+        assert got == {i: int(up[i] != i) for i in range(len(made))}
+
+
+def test_lines_columns(spark):
+    """Other columns, whatever their names, and a null id come through; a repeated row returns twice."""
+    rows = [(None, "one line of words here", 1, 2, 3, 4, 5, 6, 7, 8)] * 2 + [(3, "one line of words here\nand two", 1, 2, 3, 4, 5, 6, 7, 8)]
+    names = ("__doc", "__key", "__d", "__k", "__gone", "__eq", "__id", "__n_lines")
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.dedup(d)
+    assert out.columns[:-3] == d.columns and len(set(out.columns)) == len(out.columns)
+    got = sorted(out.collect(), key=lambda r: r.doc_id or 0)
+    assert [r.text for r in got] == ["one line of words here"] * 2 + ["and two"]
+    assert all(tuple(r)[2:10] == (1, 2, 3, 4, 5, 6, 7, 8) for r in got)
 
 
 def test_edit_distance(spark):
