@@ -49,6 +49,22 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> tuple[DataFrame, str]:
+    """Like stored(), as a table bucketed by ``column``, with its catalog name: joins on that column
+    move only the other side. The table goes with drop_bucketed()."""
+    spark = df.sparkSession
+    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"quire_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table)
+    release(spark)
+    return spark.table(table), table
+
+
+def drop_bucketed(df: DataFrame, table: str) -> None:
+    discard(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing will read again."""
     spark = df.sparkSession

@@ -46,12 +46,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chain, chunks, discard, mix, stored, text_of
+from .common import U64, Words, bucketed, chain, chunks, discard, drop_bucketed, mix, stored, text_of
 from .graph import components
 
 WIDTH, PERCENT, ROOM = 5, 80, 1 << 21
 BASE = "doc_id long, n long, s1 long, s2 long, prefix array<long>"
-SETS = "id long, items array<long>, marks array<short>, rest long"
+SETS = "id long, items binary, marks binary, rest long"
+#: Bytes by which a shingle is named in a set that is compared, and in its marks.
+ITEM, MARK = 5, 2
 
 
 def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +78,13 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
+def _packed(values: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
+    """The low ``width`` bytes of each value, as one binary value for each count."""
+    data = np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :])
+    ends = (np.concatenate([[0], np.cumsum(counts)]) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def _sums(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
     sums = np.zeros(len(h) + 1, U64)
     np.cumsum(mix(h + U64(salt)), out=sums[1:])
@@ -122,8 +131,8 @@ def frequent(docs: DataFrame, hot: int, every: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """SETS of documents: the sorted shingles by the set's first sum, and a tenth of their bytes to
-    bound what two sets share: 16 bits of two shingles in five, and the number of the others."""
+    """SETS of documents: the sorted shingles, 40 bits of each, by the set's first sum, and a sixth of
+    these bytes to bound what two sets share: 16 bits of two shingles in five, and the number of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
@@ -131,40 +140,44 @@ def sets(docs: DataFrame) -> DataFrame:
             name = mix(h + U64(3))
             in_part = (name >> U64(32)) % U64(5) < 2
             some = np.bincount(doc[in_part], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), _lists(h.view(np.int64), n, pa.int64()), _lists(name[in_part].astype(np.uint16).view(np.int16), some, pa.int16()), pa.array(n - some, pa.int64())], ["id", "items", "marks", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), _packed(h >> U64(64 - 8 * ITEM), n, ITEM), _packed(name[in_part], some, MARK), pa.array(n - some, pa.int64())], ["id", "items", "marks", "rest"])
 
     return text_of(docs).mapInArrow(run, SETS)
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of a batch's column ``items``: their bounds and all values."""
+def _rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a batch's column ``items``, ``width`` bytes a value: their bounds and all values."""
     col = batch.column("items")
-    values = np.asarray(col.values)
-    return np.asarray(col.offsets), values.view(f"u{values.itemsize}")
+    _, ends, data = col.buffers()
+    at = np.frombuffer(ends, np.int32)[col.offset : col.offset + len(col) + 1]
+    raw = np.zeros(((at[-1] - at[0]) // width, 8), np.uint8)
+    if len(raw):
+        raw[:, 8 - width :] = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, width)
+    return (at - at[0]).astype(np.int64) // width, raw.view(">u8").ravel().astype(U64)
 
 
 def against_pivots(pairs: DataFrame, items: DataFrame, percent: int, far: int) -> DataFrame:
     """(a, pivot, m) -> a, b (the pivot), zone: 0 linked (similarity at least ``percent``), 1 similarity
     at least ``far``; others give no row. Most pairs meet by chance and are settled by the marks, so that
     whole sets move only for those whose bound is at least ``far``."""
-    marked = _measured(pairs, items.select("id", F.col("marks").alias("items"), "rest"), percent, far)
+    marked = _measured(pairs, items.select("id", F.col("marks").alias("items"), "rest"), percent, far, MARK)
     left = pairs.join(marked.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("pivot") == F.col("y"))).select("a", "pivot", "m")
-    return _measured(stored(left, "pairs-left"), items.select("id", "items", F.lit(0).cast("long").alias("rest")), percent, far)
+    return _measured(stored(left, "pairs-left"), items.select("id", "items", F.lit(0).cast("long").alias("rest")), percent, far, ITEM)
 
 
-def _measured(pairs: DataFrame, items: DataFrame, percent: int, far: int) -> DataFrame:
+def _measured(pairs: DataFrame, items: DataFrame, percent: int, far: int, width: int) -> DataFrame:
     """The zones of pairs by what they share at most: shared items, and all of the smaller rest. A task holds one pivot's set and streams those it meets; where
     ``m``, the size of the group, is large, the pivot's objects are salted over many tasks."""
     met = pairs.select("pivot", F.when(F.col("m") > 4096, F.pmod(F.xxhash64("a"), F.lit(64))).otherwise(0).alias("salt"), "a")
     met = met.withColumn("own", F.lit(1)).union(met.select("pivot", "salt", F.col("pivot"), F.lit(0)).distinct())
-    rows = met.join(items, F.col("a") == F.col("id")).select("pivot", "salt", "own", "a", "items", "rest").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "own")
+    rows = met.hint("merge").join(items, F.col("a") == F.col("id")).select("pivot", "salt", "own", "a", "items", "rest").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_rest = np.zeros(0, U64), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, values = _rows(batch)
+            at, values = _rows(batch, width)
             own, ids, pivot, rest = (batch.column(c).to_numpy() for c in ("own", "a", "pivot", "rest"))
             out = []
             first = np.flatnonzero(own == 0)
@@ -232,7 +245,7 @@ def join_cell(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np
 
 def within_cells(members: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """(cell, id, c) -> a, b: the links of each cell, a cell in one task."""
-    rows = members.join(items.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("cell", "id", "c", "items").repartition("cell").sortWithinPartitions("cell")
+    rows = members.hint("merge").join(items.select(F.col("id").alias("i"), "items"), F.col("id") == F.col("i")).select("cell", "id", "c", "items").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -249,7 +262,7 @@ def within_cells(members: DataFrame, items: DataFrame, percent: int) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, values = _rows(batch)
+            at, values = _rows(batch, ITEM)
             cell, ids, labels = (batch.column(c).to_numpy() for c in ("cell", "id", "c"))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]).tolist()
             out = []
@@ -317,13 +330,16 @@ def links(live: DataFrame, items: DataFrame, percent: int = PERCENT, room: int =
         zones = zones.union(more)
         windows.append(zones.select(F.col("b").alias("p"), F.col("a").alias("id"), "zone"))
         inner = zones.where("zone = 0").select(F.col("a").alias("x"), F.col("b").alias("y"))
-        gone = meet.join(inner, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y"))).select("region", "id").union(pivots.select("region", "id")).distinct()
+        last, gone = rows, meet.join(inner, (F.col("id") == F.col("x")) & (F.col("p") == F.col("y"))).select("region", "id").union(pivots.select("region", "id")).distinct()
         rows = _open_rows(rows.join(gone, ["region", "id"], "left_anti").select("region", "id", "n", "at"), edges)
+        for done in (pairs, last):
+            discard(done)
         cells = components(rows.select(F.col("c").alias("a"), F.col("cl").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("cell"))
         members = stored(rows.select("id", "n", "c").distinct().join(cells, F.col("c") == F.col("v")).select("cell", "id", "n", "c"), "cells", small=True)
         fits = _fitting(members, room)
         edges.append(stored(within_cells(fits, items, percent), "cell-links"))
-        rows = stored(rows.join(fits.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti"), "large-cells", small=True)
+        last, rows = rows, stored(rows.join(fits.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti"), "large-cells", small=True)
+        discard(last)
         k *= growth
     if not edges:
         return live.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
@@ -361,10 +377,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     met = live.select(F.col("id").alias("i")).distinct()
     some = named.join(met, F.col("s1") == F.col("i"), "left_semi").select(F.col("rep").alias("d")).distinct()
     some = sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"))
-    items = stored(some.join(met, F.col("id") == F.col("i"), "left_semi"), "shingle-items")
-    items = items if docs.where("doc_id is null").isEmpty() else items.dropDuplicates(["id"])
+    some = some.join(met, F.col("id") == F.col("i"), "left_semi")
+    items, table = bucketed(some if docs.where("doc_id is null").isEmpty() else some.dropDuplicates(["id"]), "id", "shingle-items")
 
     linked = components(links(live, items, percent, room))
+    drop_bucketed(items, table)
+    discard(live)
     of = named.join(linked, F.col("s1") == F.col("node"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
     label = of.join(least, F.col("component") == F.col("c")).select(F.col("s1").alias("m"), "component_id")
