@@ -49,13 +49,14 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, name: str) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, column: str, name: str, dealt: bool = False) -> tuple[DataFrame, str]:
     """Like stored(), as a table bucketed by ``column``, with its catalog name: joins on that column
-    move only the other side. The table goes with drop_bucketed()."""
+    move only the other side. The table goes with drop_bucketed(). ``dealt``: the rows come from a
+    shuffle by that column's values, so that each task already has whole buckets."""
     spark = df.sparkSession
     n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = f"quire_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(n, column).write.bucketBy(n, column).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table)
+    (df if dealt else df.repartition(n, column)).write.bucketBy(n, column).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table)
     release(spark)
     return spark.table(table), table
 

@@ -130,17 +130,17 @@ def frequent(docs: DataFrame, hot: int, every: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.select("h").collect()], np.int64).view(U64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """SETS of documents: the sorted shingles, 40 bits of each, by the set's first sum, and a sixth of
-    these bytes to bound what two sets share: 16 bits of two shingles in five, and the number of the others."""
+def sets(docs: DataFrame, by_doc: bool = False) -> DataFrame:
+    """SETS of documents: the sorted shingles, 40 bits of each, by the set's first sum or by the
+    document's id, and a sixth of these bytes to bound what two sets share: 16 bits of two shingles in five, and the number of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
+        for rows, texts in chunks(batches):
             doc, h, n = shingles(texts)
             name = mix(h + U64(3))
             in_part = (name >> U64(32)) % U64(5) < 2
             some = np.bincount(doc[in_part], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(_sums(h, n, 1)), _packed(h >> U64(64 - 8 * ITEM), n, ITEM), _packed(name[in_part], some, MARK), pa.array(n - some, pa.int64())], ["id", "items", "marks", "rest"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id") if by_doc else pa.array(_sums(h, n, 1)), _packed(h >> U64(64 - 8 * ITEM), n, ITEM), _packed(name[in_part], some, MARK), pa.array(n - some, pa.int64())], ["id", "items", "marks", "rest"])
 
     return text_of(docs).mapInArrow(run, SETS)
 
@@ -374,16 +374,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     discard(raw)
     named = base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     named = stored(named, "shingle-sets", small=True)
-    met = live.select(F.col("id").alias("i")).distinct()
-    some = named.join(met, F.col("s1") == F.col("i"), "left_semi").select(F.col("rep").alias("d")).distinct()
-    some = sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"))
-    some = some.join(met, F.col("id") == F.col("i"), "left_semi")
-    items, table = bucketed(some if docs.where("doc_id is null").isEmpty() else some.dropDuplicates(["id"]), "id", "shingle-items")
+    rows, ids = base.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    own = "rep" if rows == ids else "s1"
+    if own == "rep":  # a set is named by its first document, so that the texts' own shuffle deals the sets
+        reps = named.select(F.col("s1").alias("i"), F.col("rep"))
+        last, live = live, stored(live.join(reps, F.col("id") == F.col("i")).select("region", F.col("rep").alias("id"), "n", "at"), "shingle-regions")
+        discard(last)
+        some = docs.hint("merge").join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        items, table = bucketed(sets(some, by_doc=True), "id", "shingle-items", dealt=True)
+    else:  # ids that are null or repeat name no set
+        met = live.select(F.col("id").alias("i")).distinct()
+        some = named.join(met, F.col("s1") == F.col("i"), "left_semi").select(F.col("rep").alias("d")).distinct()
+        some = sets(docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"))
+        items, table = bucketed(some.join(met, F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id"]), "id", "shingle-items")
 
     linked = components(links(live, items, percent, room))
     drop_bucketed(items, table)
     discard(live)
-    of = named.join(linked, F.col("s1") == F.col("node"))
+    of = named.join(linked, F.col(own) == F.col("node"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
     label = of.join(least, F.col("component") == F.col("c")).select(F.col("s1").alias("m"), "component_id")
     label = named.join(label, F.col("s1") == F.col("m"), "left").select(F.col("s1").alias("z1"), F.col("s2").alias("z2"), F.col("n").alias("zn"), "n_copies", F.coalesce("component_id", "rep").alias("component_id"))

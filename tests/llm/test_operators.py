@@ -345,5 +345,17 @@ def test_shingle_join_chains(spark, room):
     assert got == dict(enumerate(up))
 
 
+def test_shingle_join_ids(spark):
+    """Null and repeated ids: a class takes its smallest id, null only where it has none."""
+    a, b = text(40), text(40)
+    near = a.replace(a.split()[-1], "x")
+    rows = [(None, a, 1), (7, near, 2), (7, b, 3), (9, b, 4), (None, text(30), 5), (None, None, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in shingle_join.classes(d).collect())
+    assert len(got) == 6 and all(r[2] in (0, 7) for r in got)
+    assert [r for r in got if r[0] == 9][0][2] == 7 and [r for r in got if r[1] == 0][0][2] == 0
+    assert [r[2] for r in got if r[0] == 0 and r[1] == len({tuple(a.split()[i : i + 5]) for i in range(36)})] == [7]
+
+
 def test_shingle_join_empty(spark):
     assert shingle_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
