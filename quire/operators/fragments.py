@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.tagged import norm, plain
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, seq, text) of each line of a text."""
@@ -35,10 +37,15 @@ def reattach(new: DataFrame, old: DataFrame, page) -> DataFrame:
     return m.groupBy("doc_id", "page").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("whole"), F.count("*").alias("n"))
 
 
+def pair_words(pairs: DataFrame) -> DataFrame:
+    """doc_id, turn, word, kept: each source word of a pair in comparable form, marks aside, and whether
+    the target holds it too. Pairs without a target are left out: they are not translated yet."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(norm(plain(c)), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    w = pairs.where(F.trim("target") != "").select("doc_id", "turn", words(F.col("source")).alias("s"), words(F.col("target")).alias("t"))
+    return w.select("doc_id", "turn", "t", F.explode("s").alias("word")).select("doc_id", "turn", "word", F.array_contains("t", F.col("word")).alias("kept"))
+
+
 def inconsistent_terms(pairs: DataFrame) -> DataFrame:
     """Words of a document that stay in one pair's target and are translated in another's."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-    w = pairs.select("doc_id", F.explode(words(F.col("source"))).alias("word"), words(F.col("target")).alias("t"))
-    w = w.withColumn("kept", F.array_contains("t", F.col("word")))
-    g = w.groupBy("doc_id", "word").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("translated"))
+    g = pair_words(pairs).groupBy("doc_id", "word").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("translated"))
     return g.where("kept > 0 and translated > 0").select("doc_id", "word", "translated")

@@ -7,15 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def period(anchor: Column, now: Column) -> DataFrame | Column:
-    """Start and end of the monthly period that holds ``now``, counted from the anchor with its
-    time of day kept and days clamped to the month's end; never before the anchor."""
-    months = (F.year(now) - F.year(anchor)) * 12 + F.month(now) - F.month(anchor)
-    late = anchor + F.make_ym_interval(F.lit(0), months) > now
-    k = F.greatest(F.lit(0), months - F.when(late, 1).otherwise(0))
-    return F.struct((anchor + F.make_ym_interval(F.lit(0), k)).alias("start"), (anchor + F.make_ym_interval(F.lit(0), k + 1)).alias("end"))
-
-
 def pages_used(usage: DataFrame, start: Column) -> DataFrame:
     """Pages by user from ``start`` on, neither refunded nor paid with credits; no upper bound."""
     counted = (F.col("created_at") >= start) & ~F.col("refunded") & (F.col("kind") != "credits")
@@ -49,8 +40,3 @@ def refund_ledger(usage: DataFrame) -> DataFrame:
     """Per user: pages handed back, and those of them that had been paid with credits."""
     r = usage.where("refunded")
     return r.groupBy("user_id").agg(F.sum("pages").alias("pages_back"), F.coalesce(F.sum(F.when(F.col("kind") == "credits", F.col("pages"))), F.lit(0)).cast("long").alias("credits_back"))
-
-
-def carry_over(rest_seconds: Column, old_price: Column, new_price: Column) -> Column:
-    """Seconds of the new plan that the rest of the old one is worth."""
-    return F.when(new_price > 0, F.floor(rest_seconds * old_price / new_price)).otherwise(0).cast("long")

@@ -56,22 +56,6 @@ def even(s, d):
     return doc_lines(s, d).where("seq % 2 = 0")
 
 
-def queue(s, d):
-    o = read(s, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("p"), "o_custkey")
-    return o.withColumn("place", F.row_number().over(W.partitionBy("o_custkey").orderBy("p", "o_orderkey"))).select("o_orderkey", "o_custkey", "place")
-
-
-def latest(s, d):
-    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return read(s, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_id", "event_type")
-
-
-def resend(s, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))
-    return read(s, d, "events").select("event_id", "user_id", F.coalesce(gap >= 45, F.lit(True)).alias("allowed"))
-
-
 def zone_payments(s, d):
     n = read(s, d, "nation").selectExpr("n_nationkey", "CASE n_regionkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS zone")
     c = read(s, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -111,17 +95,11 @@ QUERIES = {
     "billable_pages": (zone_payments, f"WITH {USAGE_SQL}, z AS (SELECT usage_id, pages, CASE n_regionkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS zone, CASE n_regionkey % 3 WHEN 0 THEN 50 WHEN 1 THEN 30 ELSE 20 END AS unit FROM usage JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey) SELECT usage_id, zone, greatest(pages, ceil(100.0 / unit))::BIGINT AS billed, greatest(pages, ceil(100.0 / unit))::BIGINT * unit AS amount FROM z"),
     "credit_once": (lambda s, d: ledger.credit_once(read(s, d, "events").selectExpr("user_id AS payment_id", "event_id AS notice_id", "ts AS at", "event_type = 'purchase' AS ok")).select("payment_id", "notice_id"), "SELECT user_id AS payment_id, event_id AS notice_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'purchase') WHERE rn = 1"),
     "expire_plans": (expired, f"SELECT o_custkey AS user_id, CASE WHEN max(o_orderdate) + INTERVAL 3 MONTH <= {NOW} THEN 'free' ELSE 'paid' END AS plan FROM orders GROUP BY 1"),
-    "queue_order": (queue, "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY substr(o_orderpriority, 1, 1)::INT, o_orderkey)::INT AS place FROM orders"),
-    "latest_per_user": (latest, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"),
-    "resend_throttle": (resend, "SELECT event_id, user_id, coalesce(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) >= 45, true) AS allowed FROM events"),
-    "spend_24h": (lambda s, d: storage.spend(read(s, d, "events").selectExpr("user_id AS account", "event_id AS reading_id", "ts", "value AS balance"), F.expr("TIMESTAMP '1970-01-01 00:00:00'")), "SELECT user_id AS account, round(sum(greatest(coalesce(fall, 0), 0)), 4) AS spent FROM (SELECT user_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - value AS fall FROM events) GROUP BY 1"),
     "lru_evict": (lambda s, d: storage.lru_evict(files(s, d), 1_000_000), f"WITH {FILES_SQL} SELECT path, size, mtime FROM (SELECT *, sum(size) OVER () AS total, sum(size) OVER (ORDER BY mtime, size, path) - size AS before FROM files) WHERE total - before > 1000000"),
     "orphan_roots": (lambda s, d: storage.orphans(files(s, d), files(s, d).where("mtime % 3 = 0")), f"WITH {FILES_SQL} SELECT root, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM files WHERE root NOT IN (SELECT root FROM files WHERE mtime % 3 = 0) GROUP BY 1"),
     "root_refs": (lambda s, d: files(s, d).groupBy("root").agg(F.count("*").alias("n")), f"WITH {FILES_SQL} SELECT root, count(*) AS n FROM files GROUP BY 1"),
     "content_hash": (lambda s, d: read(s, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h")), "SELECT doc_id, substr(sha256(text), 1, 12) AS h FROM documents"),
     "strip_tags": (lambda s, d: doc_lines(s, d).select("doc_id", "seq", T.strip_tags(F.concat(F.lit("[["), "seq", F.lit("]]"), "text", F.lit("[[/"), "seq", F.lit("]]"))).alias("text")), f"WITH {LINES_SQL} SELECT doc_id, seq, regexp_replace('[[' || seq || ']]' || text || '[[/' || seq || ']]', '\\[\\[/?\\d+\\]\\]', '', 'g') AS text FROM lines"),
-    "numbers_kept": (lambda s, d: pairs(s, d).select("doc_id", "turn", (F.array_sort(T.numbers(F.col("source"))) == F.array_sort(T.numbers(F.col("target")))).alias("kept")), f"WITH {PAIRS_SQL} SELECT doc_id, turn, list_sort(regexp_extract_all(source, '\\d+')) = list_sort(regexp_extract_all(target, '\\d+')) AS kept FROM pairs"),
-    "inconsistent_terms": (lambda s, d: fragments.inconsistent_terms(pairs(s, d)), f"WITH {PAIRS_SQL}, w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(source), '\\p{{L}}{{3,}}'))) AS word, regexp_extract_all(lower(target), '\\p{{L}}{{3,}}') AS t FROM pairs) SELECT doc_id, word, count_if(NOT list_contains(t, word))::BIGINT AS translated FROM w GROUP BY 1, 2 HAVING count_if(list_contains(t, word)) > 0 AND count_if(NOT list_contains(t, word)) > 0"),
     "inject_apply": (lambda s, d: fragments.inject(doc_lines(s, d), even(s, d).withColumn("text", F.concat(F.lit("T:"), "text"))), f"WITH {LINES_SQL} SELECT doc_id, seq, CASE WHEN seq % 2 = 0 THEN 'T:' || text ELSE text END AS text FROM lines"),
     "resume_remaining": (lambda s, d: fragments.remaining(doc_lines(s, d), even(s, d)), f"WITH {LINES_SQL} SELECT * FROM lines WHERE seq % 2 = 1"),
     "doc_memory": (lambda s, d: fragments.memory(doc_lines(s, d), key_col()), f"WITH {LINES_SQL} SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r]+', ' ', 'g')) AS key, min(seq) AS first_seq FROM lines GROUP BY 1, 2 HAVING key <> ''"),

@@ -9,16 +9,6 @@ from quire.operators import ledger
 from quire.plans.catalogue import FILES_SQL, USAGE_SQL, files, usage
 from quire.plans.tables import ERROR_LOG, error_log, read
 
-#: Fixed test prices, minor units a month by plan and zone; a plan without a price is by quote.
-PRICES = [("basic", "A", 900), ("basic", "B", 500), ("basic", "C", 300), ("pro", "A", 2900), ("pro", "B", 1900)]
-PRICES_SQL = "prices AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{z}', {n}::BIGINT)" for p, z, n in PRICES) + ") t(plan, zone, price))"
-
-
-def price_grid(s, d):
-    """Every plan in every zone: both tables are the library's own and fixed in size."""
-    prices = s.createDataFrame(PRICES, "plan string, zone string, price long")
-    plans = s.createDataFrame([("basic",), ("pro",), ("team",)], "plan string").withColumn("zone", F.explode(F.array(*map(F.lit, "ABC"))))
-    return plans.join(F.broadcast(prices), ["plan", "zone"], "left").select("plan", "zone", "price", (F.col("price") * 12).alias("year"), F.col("price").isNull().alias("quote"))
 
 
 def occurrences(s, d):
@@ -60,7 +50,6 @@ QUERIES = {
     "my_documents": (lambda s, d: read(s, d, "orders").orderBy("o_custkey", F.desc("o_orderdate"), "o_orderkey").select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey"),
     "reconcile_jobs": (jobs, f"WITH {USAGE_SQL} SELECT usage_id AS job_id, 'error' AS status, user_id, pages::BIGINT AS pages_back FROM usage WHERE refunded"),
     "usage_backfill": (lambda s, d: read(s, d, "orders").select("o_orderkey", F.coalesce(F.nullif(F.col("o_orderkey") % 5, F.lit(0)), F.lit(1)).cast("long").alias("pages"), (F.col("o_orderstatus") == "P").alias("refunded")), "SELECT o_orderkey, coalesce(nullif(o_orderkey % 5, 0), 1)::BIGINT AS pages, o_orderstatus = 'P' AS refunded FROM orders"),
-    "price_grid": (price_grid, f"WITH {PRICES_SQL} SELECT p.plan, z.zone, price, price * 12 AS year, price IS NULL AS quote FROM (VALUES ('basic'), ('pro'), ('team')) p(plan) CROSS JOIN (VALUES ('A'), ('B'), ('C')) z(zone) LEFT JOIN prices ON prices.plan = p.plan AND prices.zone = z.zone"),
     "payment_lookup": (lambda s, d: read(s, d, "orders").where("o_orderkey = 7 OR o_custkey = 7").select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7 OR o_custkey = 7"),
     "paid_backfill": (paid_backfill, "SELECT c_custkey, true AS paid FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"),
     "storage_release": (storage_release, f"WITH {FILES_SQL} SELECT root, greatest(0, sum(size) - coalesce(sum(size) FILTER (WHERE mtime % 2 = 0), 0))::BIGINT AS \"left\" FROM files GROUP BY 1"),
@@ -68,6 +57,4 @@ QUERIES = {
     "bill_pages": (lambda s, d: read(s, d, "documents").select("doc_id", F.greatest(F.lit(1).cast("long"), F.coalesce(F.floor(F.col("n_chars") / 1800), F.lit(1))).alias("pages")), "SELECT doc_id, greatest(1, coalesce(floor(n_chars / 1800), 1))::BIGINT AS pages FROM documents"),
     "cell_ref": (lambda s, d: read(s, d, "part").select("p_partkey", T.column_number(F.concat(F.char(F.lit(65) + F.col("p_partkey") % 26), F.char(F.lit(65) + F.col("p_size") % 26), F.col("p_size").cast("string"))).alias("c")), "SELECT p_partkey, (p_partkey % 26 + 1) * 26 + p_size % 26 + 1 AS c FROM part"),
     "sanitize_name": (lambda s, d: read(s, d, "pages").select("page_id", T.file_name(F.col("url")).alias("name")), "SELECT page_id, CASE WHEN replace(n, '_', '') = '' THEN 'document' ELSE n END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(url, '\\.[^.]*$', ''), '[^\\p{L}\\p{N}]', '_', 'g'), '_+', '_', 'g'), 1, 50) AS n FROM pages)"),
-    "carry_over": (lambda s, d: usage(s, d).select("usage_id", ledger.carry_over(F.col("user_id") * 60, F.col("pages") * 100, F.lit(300)).alias("seconds")), f"WITH {USAGE_SQL} SELECT usage_id, floor(user_id * 60 * pages * 100 / 300)::BIGINT AS seconds FROM usage"),
-    "plan_offer": (lambda s, d: usage(s, d).select("usage_id", (F.lit(900) * F.when(F.col("usage_id") % 2 == 0, 12).otherwise(1)).cast("long").alias("total")), f"WITH {USAGE_SQL} SELECT usage_id, (900 * CASE WHEN usage_id % 2 = 0 THEN 12 ELSE 1 END)::BIGINT AS total FROM usage"),
 }
