@@ -3,7 +3,7 @@
 Documents become token ids (byte-level BPE) and an end id; those longer than a sequence are cut,
 the first piece taking the remainder. Pieces go into bins by best fit, largest first, within
 each partition; bins that are nearly full are final, and the others become the items of the next
-round in fewer partitions, up to one last round that holds underfull bins only.
+round, in as many partitions as their number needs.
 
 Lengths are integers up to the capacity, so best fit needs one list of bins per residual space
 and a bit set of the non-empty lists.
@@ -42,9 +42,17 @@ class Tokenizer:
     not white space, so a text splits at single spaces and each part is encoded on its own; parts
     already seen come from a cache of at most ``cache`` entries."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 600_000):
+    def __init__(self, ranks_path: str, pattern: str, full_path: str | None = None, cache: int = 600_000):
         import tiktoken
 
+        # texts that hold a token added to the vocabulary go to the tokenizer's own file
+        self.full, self.added = None, []
+        if full_path:
+            from tokenizers import Tokenizer as Full
+
+            self.full = Full.from_file(full_path)
+            self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -66,6 +74,8 @@ class Tokenizer:
         return ids
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.split(" ")
         if AWKWARD.search(text):
             return self.awkward(parts)
@@ -103,7 +113,7 @@ def pieces(docs: DataFrame, ranks_path: str | None, id_col: str = "doc_id", text
 
         at = ranks_path or path("byte_bpe_50k.tiktoken")
         if at not in _TOKENIZERS:
-            _TOKENIZERS[at] = Tokenizer(at, PATTERN)
+            _TOKENIZERS[at] = Tokenizer(at, PATTERN, None if ranks_path else path("byte_bpe_50k.json"))
         tok, last, step = _TOKENIZERS[at], end.to_bytes(4, "little"), 4 * capacity
         for rows, texts in chunks(batches):
             out: list[tuple] = []
@@ -171,27 +181,34 @@ def pack_round(items: DataFrame, parts: int, capacity: int, tag: int) -> DataFra
             to, off, fills = best_fit(sz, capacity)
             yield pa.RecordBatch.from_arrays([pa.array(its), pa.array((tag << 58) + (int(p) << 36) + to), pa.array(off), pa.array(fills[to])], ["item", "bin", "offset", "fill"])
 
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))) if parts > 1 else items.withColumn("part", F.lit(0).cast("long"))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(tag)), F.lit(parts))) if parts > 1 else items.withColumn("part", F.lit(0).cast("long"))
     return dealt.repartition(parts, "part").mapInArrow(run, ROUND)
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, per_part: int = 20_000, shrink: int = 8, full: float = 0.995) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, per_part: int = 20_000, full: float = 0.995) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Whole-sequence pieces need no packing. ``per_part`` items go to a first-round partition;
-    each later round has ``shrink`` times fewer, at least as many as its items need."""
+    Whole-sequence pieces need no packing. ``per_part`` items go to a partition of each round, dealt
+    anew, so that a task holds about that many whatever is left. Bins with no room for the smallest
+    item left are final too. Rounds end with one of a single partition, or one that saves under a
+    fiftieth of its items: what is left then (such as items all over half a sequence) does not pair."""
     got = stored(pieces(docs, ranks_path, id_col, text_col, capacity, end), "pack-pieces")
     items = got.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
-    n = items.count()
-    parts, rounds = -(-n // per_part) or 1, []
+    n, least = items.agg(F.count("*"), F.min("size")).first()
+    rounds = []
     while True:
+        parts = -(-n // per_part) or 1
         packed = stored(pack_round(items, parts, capacity, len(rounds) + 1), "pack-round")
         rounds.append(packed)
         if parts == 1:
             break
         # one row per underfull bin: that of its first item
-        items = packed.where((F.col("offset") == 0) & (F.col("fill") < full * capacity)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
-        parts = -(-parts // shrink)
+        bins = packed.where("offset = 0")
+        items = bins.where((F.col("fill") < full * capacity) & (F.col("fill") <= capacity - least)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
+        made, (left, least) = bins.count(), items.agg(F.count("*"), F.min("size")).first()
+        if not left or made > 0.98 * n:
+            break
+        n = left
     # follow bins upwards; a bin's place is the sum of its offsets
     place = rounds[-1].select("item", "bin", "offset")
     for r in reversed(rounds[:-1]):
