@@ -28,7 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|xmp)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S | re.I)
+NAME = re.compile(r"/?([a-zA-Z][\w:-]*)")
+#: Elements whose content is no markup, or none to be read.
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style textarea title noscript template iframe xmp".split()}
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -55,6 +58,53 @@ def _kind(name: str, attributes: str) -> int:
     return kind
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(begin, end, closing, name, attributes) of each tag in order; no name: what is left out, such as
+    a comment or a script. One pass: a search that finds no end is not made a second time."""
+    at, n, quoted = 0, len(html), True
+    while (lo := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lo):
+            end = html.find("-->", lo + 4)
+            at = n if end < 0 else end + 3
+            yield lo, at, False, None, ""
+            continue
+        m = NAME.match(html, lo + 1)
+        if not m:
+            if html[lo + 1 : lo + 2] not in ("!", "?", "/"):
+                at = lo + 1
+                continue
+            end = html.find(">", lo)
+        else:
+            end = m.end()
+            while quoted:  # the first > outside quotes
+                stop = STOP.search(html, end)
+                if stop and stop[0] != ">":
+                    end = html.find(stop[0], stop.end()) + 1
+                    if end:
+                        continue
+                    stop = None
+                if stop:
+                    end = stop.start()
+                else:
+                    quoted = False  # an open quote, or no > at all: from here on quotes mean nothing
+                break
+            if not quoted:
+                end = html.find(">", m.end())
+        if end < 0:
+            return
+        at = end + 1
+        if not m:
+            yield lo, at, False, None, ""
+            continue
+        name, closing = m[1].lower(), html[lo + 1] == "/"
+        if name in RAW and not closing:
+            over = RAW[name].search(html, at)
+            at = over.end() if over else n
+            yield lo, at, False, None, ""
+        else:
+            yield lo, at, closing, name, html[m.end() : end]
+
+
 def lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, within main content, within furniture) of each block with text, in page order."""
     out: list[tuple[str, bool, bool]] = []
@@ -77,17 +127,18 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
         del stack[to:]
 
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for begin, end, closing, name, attributes in tags(html):
+        if begin > at:
+            text.append(html[at:begin])
+        at = end
         if name is None:
             continue
-        name = name.lower()
+        if name == "br":  # white space within its block
+            text.append(" ")
+            continue
         if name not in INLINE:
             flush()
-        if m[2]:
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     if any(kind == 2 for _, kind in stack[i:]) or any(kind == 1 for _, kind in stack[i:]):
@@ -95,7 +146,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
                     pop(i)
                     break
             continue
-        if name in VOID or m[4].endswith("/") and name not in MAIN | FURNITURE | {"div", "p"}:
+        if name in VOID or attributes.endswith("/") and name not in MAIN | FURNITURE | {"div", "p"}:
             continue
         if name not in INLINE:
             for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends where a block begins
@@ -104,7 +155,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        kind = _kind(name, m[4])
+        kind = _kind(name, attributes)
         if kind:
             flush()
         stack.append((name, kind))

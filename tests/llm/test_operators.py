@@ -156,6 +156,17 @@ def test_html():
     assert html_extract.lines("") == []
 
 
+def test_html_hostile():
+    """Unclosed tags and quotes take time with the page's length only; text around them stays."""
+    import time
+
+    begin = time.time()
+    for page in ("<a " * 350_000, "<a \"" * 250_000 + ">", "<p '" * 250_000, "<" * 1_000_000, "<!--" * 250_000, "<script>" * 130_000, "<p>x" * 100_000):
+        html_extract.lines(page)
+    assert time.time() - begin < 60
+    assert [x for x, _, _ in html_extract.lines("a < b <p title='x>y'>one<br>two</p> <!-- no --> 1<2 <")] == ["a < b", "one two", "1<2 <"]
+
+
 def test_html_table(spark):
     rows = [(1, "http://a/x/1", "<p>menu</p><p>one</p>"), (2, "http://a/x/2", "<p>menu</p><p>two</p>"), (3, None, None), (4, "http://b/", "<p>alone</p>")]
     many = spark.createDataFrame([(i, f"http://h{i % 3}/p/{i}", f"<article>text {i}</article><p>x</p>") for i in range(60)], "page_id long, url string, html string")
@@ -301,14 +312,15 @@ def test_components(spark):
         assert {r.node: r.component for r in graph.components(e, **how).collect()} == want
 
 
-def test_packing(docs):
+def test_packing(spark, docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    more = [*TEXTS, "a <|endoftext|> b<|endoftext|>", "<|endoftext|>", "<|endoftext| >"]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more))[len(TEXTS) :], "doc_id long, text string"))
     rows = packing.pack(docs, per_part=8).collect()
-    for i, x in enumerate(TEXTS):
+    for i, x in enumerate(more):
         ids = t.encode(x or "", add_special_tokens=False).ids + [2]
         mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
         assert sum(r.length for r in mine) == len(ids)
@@ -322,6 +334,14 @@ def test_packing(docs):
         assert at <= 1024
 
 
+def test_packing_wide(spark):
+    """Items that cannot pair end the rounds, and no task takes all of them; an empty table has no row."""
+    d = spark.createDataFrame([(i, " ".join(["a"] * 600)) for i in range(40)], "doc_id long, text string")
+    rows = packing.pack(d, per_part=5).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 40 and all(r.offset == 0 for r in rows)
+    assert packing.pack(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("room", [shingle_join.ROOM, 0])
 def test_shingle_join_chains(spark, room):
     """Groups of drifting variants, so that pivots have boundaries and chains cross them."""
