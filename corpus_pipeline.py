@@ -11,48 +11,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import line_dedup, mixing, packing, quality_rules, shingle_join
-from quire.llm.common import stored
+from quire.llm.common import fresh, stored
 from quire.llm.queries import small_batches
 
 #: SQL cannot express the stages' classes and packing; tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
-def _decide(docs: DataFrame, decisions: DataFrame, keep) -> DataFrame:
-    """The rows of ``docs`` whose decision by doc_id holds; rows that repeat an id share it."""
-    d = decisions.where(keep).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _keyed(docs: DataFrame):
+    """The rows with an id of their own, and what gives them back their columns. Ids that are null or
+    repeat are replaced by row numbers, in a table written once, so that each row is decided by itself."""
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs, lambda out: out.select(*docs.columns)
+    (own,) = fresh(docs, "__doc")
+    numbered = stored(docs.withColumnRenamed("doc_id", own).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    return numbered, lambda out: out.select(*[F.col(own).alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _decide(docs: DataFrame, operator, keep: str) -> DataFrame:
+    """The rows that the operator's decision holds for."""
+    keyed, back = _keyed(docs)
+    return back(keyed.join(operator(keyed).where(keep).select("doc_id"), "doc_id", "left_semi"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the text rules and whose host does not fail as a whole."""
     small_batches(spark)
-    return _decide(docs, quality_rules.verdicts(docs), "kept")
+    return _decide(docs, quality_rules.verdicts, "kept")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies and near copies of lines go; a document that had words and has none left, its
     every line being in others, goes as a copy. n_chars follows the text."""
     small_batches(spark)
-    out = line_dedup.dedup(docs).where((F.col("__n_equal") + F.col("__n_near") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.dedup(docs)
+    _, equal, near = out.columns[-3:]
+    out = out.where((F.col(equal) + F.col(near) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest id."""
+    """One document of each class of near copies: that with the smallest id (where ids are null or
+    repeat, with the smallest row number)."""
     small_batches(spark)
-    return _decide(docs, shingle_join.classes(docs), "doc_id <=> component_id")
+    return _decide(docs, shingle_join.classes, "doc_id = component_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     small_batches(spark)
-    taken = stored(mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("__times")), "mix-taken")
-    per_id = taken.groupBy("__id").agg(F.max("__times").alias("__times"))
-    out = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    keyed, back = _keyed(docs)
+    times, copy = fresh(keyed, "__times", "__copy")
+    taken = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    taken = stored(mixing.mix(keyed).select("doc_id", taken.alias(times)).where(F.col(times) > 0), "mix-taken")
+    return back(keyed.join(taken, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
