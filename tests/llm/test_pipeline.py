@@ -55,3 +55,26 @@ def test_stages(spark):
             assert offset == end
             end += length
         assert end <= 1024
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, clashing names: each row is decided by itself."""
+    good = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"term{i}" for i in range(40))
+    rows = [(1, good), (1, "too short"), (None, other), (None, None), (2, ""), (3, good), (3, good)]
+    names = ("__id", "__times", "__copy", "__doc", "size", "kept", "host")
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(7)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    ruled = stored(corpus_pipeline.rules(spark, d, SF), "odd")
+    assert ruled.columns == d.columns
+    assert sorted(r.text for r in ruled.collect()) == sorted([good, other, good, good])
+    single = stored(corpus_pipeline.near_copies(spark, ruled, SF), "odd")
+    assert sorted(r.text for r in single.collect()) == sorted([good, other])
+    mixed = corpus_pipeline.mix(spark, stored(single, "odd"), SF)
+    assert mixed.columns == d.columns and all(tuple(r)[5:] == tuple(range(7)) for r in mixed.collect())
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF), "empty")
+        assert docs.count() == 0
