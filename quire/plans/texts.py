@@ -68,7 +68,10 @@ def joined(c):
     return F.array_join(c, ",")
 
 
-P, R = [F.col(f"p{i}") for i in range(3)], [F.col(f"r{i}") for i in range(3)]
+def three(x):
+    return [F.col(f"{x}{i}") for i in range(3)]
+
+
 TERMS_SQL = f"""{PAIRS_SQL}, n AS (SELECT doc_id, turn, list_distinct(regexp_extract_all({norm_sql(plain_sql('source'))}, '\\p{{L}}{{3,}}')) AS s, regexp_extract_all({norm_sql(plain_sql('target'))}, '\\p{{L}}{{3,}}') AS t FROM pairs WHERE trim(target) <> ''),
 w AS (SELECT doc_id, turn, t, unnest(s) AS word FROM n), bad AS (SELECT doc_id, word, count_if(NOT list_contains(t, word))::BIGINT AS translated FROM w GROUP BY 1, 2 HAVING count_if(list_contains(t, word)) > 0 AND count_if(NOT list_contains(t, word)) > 0)"""
 
@@ -82,7 +85,7 @@ def terms_to_redo(s, d):
 
 def defects(s, d):
     r = runs(s, d).select("doc_id", "turn", "a", "b", *[c.alias(f"{x}{i}") for x in "ab" for i, c in enumerate(G.run_texts(F.col(x), 3))])
-    r = r.withColumn("same", G.copied([F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)]))
+    r = r.withColumn("same", G.copied(three("a"), three("b")))
     return r.select("doc_id", "turn", joined(G.defects(F.col("a"), F.col("b"), 3, F.col("same"))).alias("found"))
 
 
@@ -123,9 +126,19 @@ FONTS_SQL = f"""WITH f AS (SELECT p_partkey, p_size % 2 = 0 AS bold, lower([{',
 SELECT p_partkey, CASE {' '.join(f"WHEN {any_sql('n', w)} THEN '{k}'" for k, w in T.FAMILIES)} ELSE 'opensans' END AS family,
  CASE {' '.join(f"WHEN {any_sql('m', w)} THEN '{k}'" for k, w in T.WEIGHTS)} WHEN bold THEN 'bold' ELSE 'regular' END AS weight, CASE {' '.join(f"WHEN {any_sql('n', w)} THEN '{k}'" for k, w in T.BASES)} ELSE 'helv' END AS base FROM g"""
 
-CODE = F.concat(F.lit('#,##0" '), "p_type", F.lit('";[Red]-0" ";0"'), "p_size", F.lit('"'))
-CELL = F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_size").cast("string"), F.lit(",5"))).otherwise(F.array("p_name", F.lit(" 2026")))
-PHONE = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("+237 6"), F.lpad(((F.col("c_custkey") * 7919) % 100000000).cast("string"), 8, "0"))).otherwise(F.concat(F.lit("6"), F.lpad(((F.col("c_custkey") * 1000003) % 100000000).cast("string"), 8, "0")))
+
+def code():
+    return F.concat(F.lit('#,##0" '), "p_type", F.lit('";[Red]-0" ";0"'), "p_size", F.lit('"'))
+
+
+def cell():
+    return F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_size").cast("string"), F.lit(",5"))).otherwise(F.array("p_name", F.lit(" 2026")))
+
+
+def phone():
+    return F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("+237 6"), F.lpad(((F.col("c_custkey") * 7919) % 100000000).cast("string"), 8, "0"))).otherwise(F.concat(F.lit("6"), F.lpad(((F.col("c_custkey") * 1000003) % 100000000).cast("string"), 8, "0")))
+
+
 SIGNAL_SQL = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 QUERIES = {
@@ -133,20 +146,20 @@ QUERIES = {
     "tag_conform": (lambda s, d: runs(s, d).select("doc_id", "turn", G.conforms(F.col("b"), 3).alias("ok")), f"WITH {RUNS_SQL} SELECT doc_id, turn, {has_sql('b')} AS ok FROM marked"),
     "tags_ok": (lambda s, d: runs(s, d).select("doc_id", "turn", T.tags_ok(F.col("a"), F.col("b")).alias("ok")), f"WITH {RUNS_SQL} SELECT doc_id, turn, list_sort(regexp_extract_all(a, '\\[\\[/?\\d+\\]\\]')) = list_sort(regexp_extract_all(b, '\\[\\[/?\\d+\\]\\]')) AS ok FROM marked"),
     "norm_text": (lambda s, d: pairs(s, d).select("doc_id", "turn", G.norm(F.col("source")).alias("form")), f"WITH {PAIRS_SQL} SELECT doc_id, turn, {norm_sql('source')} AS form FROM pairs"),
-    "word_aligned": (lambda s, d: runs(s, d).select("doc_id", "turn", G.aligned(P).alias("ok")), f"WITH {RUNS_SQL} SELECT doc_id, turn, " + " AND ".join(f"(regexp_matches({x}, '[  \\t]$') OR regexp_matches({y}, '^[  \\t]'))" for x, y in (("p0", "p1"), ("p1", "p2"))) + " AS ok FROM marked"),
-    "copied_runs": (lambda s, d: runs(s, d).select("doc_id", "turn", joined(G.copied(P, R)).alias("runs")), f"WITH {RUNS_SQL} SELECT doc_id, turn, {copied_sql(['p0', 'p1', 'p2'], ['r0', 'r1', 'r2'])} AS runs FROM marked"),
+    "word_aligned": (lambda s, d: runs(s, d).select("doc_id", "turn", G.aligned(three("p")).alias("ok")), f"WITH {RUNS_SQL} SELECT doc_id, turn, " + " AND ".join(f"(regexp_matches({x}, '[  \\t]$') OR regexp_matches({y}, '^[  \\t]'))" for x, y in (("p0", "p1"), ("p1", "p2"))) + " AS ok FROM marked"),
+    "copied_runs": (lambda s, d: runs(s, d).select("doc_id", "turn", joined(G.copied(three("p"), three("r"))).alias("runs")), f"WITH {RUNS_SQL} SELECT doc_id, turn, {copied_sql(['p0', 'p1', 'p2'], ['r0', 'r1', 'r2'])} AS runs FROM marked"),
     "added_gloss": (lambda s, d: runs(s, d).select("doc_id", "turn", G.openings(F.col("a")).cast("long").alias("before"), G.openings(F.col("b")).cast("long").alias("after")), f"WITH {RUNS_SQL} SELECT doc_id, turn, {open_sql('a')}::BIGINT AS before, {open_sql('b')}::BIGINT AS after FROM marked"),
     "defects": (defects, f"WITH {RUNS_SQL} SELECT doc_id, turn, concat_ws(',', CASE WHEN NOT ({has_sql('b')}) THEN 'balises' WHEN {copied_sql([run_sql('a', i) for i in range(3)], [run_sql('b', i) for i in range(3)])} <> '' THEN 'recopie' END, CASE WHEN {digits_sql('a')} <> {digits_sql('b')} THEN 'nombres' END, CASE WHEN {open_sql('b')} > {open_sql('a')} THEN 'ajout' END) AS found FROM marked"),
     "inconsistent_terms": (lambda s, d: fragments.inconsistent_terms(pairs(s, d)), f"WITH {TERMS_SQL} SELECT * FROM bad"),
     "terms_to_redo": (terms_to_redo, f"WITH {TERMS_SQL} SELECT doc_id, turn, string_agg(DISTINCT word, ',' ORDER BY word) AS terms FROM w JOIN bad USING (doc_id, word) WHERE list_contains(t, word) GROUP BY 1, 2"),
-    "redistribute": (lambda s, d: runs(s, d).select("doc_id", "turn", F.array_join(G.redistributed(F.array(*P), F.when(F.col("turn") % 4 == 0, F.col("target")).otherwise(F.col("b"))), "|").alias("texts")), None),
+    "redistribute": (lambda s, d: runs(s, d).select("doc_id", "turn", F.array_join(G.redistributed(F.array(*three("p")), F.when(F.col("turn") % 4 == 0, F.col("target")).otherwise(F.col("b"))), "|").alias("texts")), None),
     "numbers_kept": (lambda s, d: runs(s, d).select("doc_id", "turn", (F.array_sort(T.numbers(G.plain(F.col("a")))) == F.array_sort(T.numbers(G.plain(F.col("b"))))).alias("kept")), f"WITH {RUNS_SQL} SELECT doc_id, turn, {digits_sql('a')} = {digits_sql('b')} AS kept FROM marked"),
     "string_table": (string_table, f"WITH {LINES_SQL}, t AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'T' || seq || ':' || text WHEN 1 THEN text ELSE '' END AS target FROM lines) SELECT doc_id, text AS source, arg_max(target, seq) AS target FROM t WHERE trim(target) <> '' AND target <> text GROUP BY 1, 2"),
-    "format_literals": (lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(T.format_literals(CODE), "|").alias("literals")), "SELECT p_partkey, ' ' || p_type || '|' || p_size AS literals FROM part"),
-    "tag_cell": (lambda s, d: read(s, d, "part").select("p_partkey", T.tag_cell(CELL).alias("cell")), "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '[[0]]' || p_name || '[[/0]][[1]] 2026[[/1]]' END AS cell FROM part"),
+    "format_literals": (lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(T.format_literals(code()), "|").alias("literals")), "SELECT p_partkey, ' ' || p_type || '|' || p_size AS literals FROM part"),
+    "tag_cell": (lambda s, d: read(s, d, "part").select("p_partkey", T.tag_cell(cell()).alias("cell")), "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '[[0]]' || p_name || '[[/0]][[1]] 2026[[/1]]' END AS cell FROM part"),
     "page_ranges": (lambda s, d: specs(s, d).select("o_orderkey", F.array_join("pages", ",").alias("pages")), f"WITH {SPECS_SQL} SELECT o_orderkey, pages FROM orders LEFT JOIN sets USING (o_orderkey)"),
     "page_token": (lambda s, d: specs(s, d).select("o_orderkey", T.page_token(F.col("pages")).alias("token")), f"WITH {SPECS_SQL} SELECT o_orderkey, CASE WHEN n IS NULL THEN '' WHEN n = 1 THEN 'p' || lo WHEN hi - lo + 1 = n THEN 'p' || lo || '-' || hi ELSE 'p' || substr(sha1(pages), 1, 8) END AS token FROM orders LEFT JOIN sets USING (o_orderkey)"),
-    "phone_operator": (lambda s, d: read(s, d, "customer").select("c_custkey", T.phone(PHONE).alias("phone"), T.phone_operator(PHONE).alias("operator")), "WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '2376' || lpad(((c_custkey * 7919) % 100000000)::VARCHAR, 8, '0') ELSE '2376' || lpad(((c_custkey * 1000003) % 100000000)::VARCHAR, 8, '0') END AS phone FROM customer) SELECT c_custkey, phone, CASE WHEN regexp_matches(substr(phone, 4), '^6(5[0-4]|7[0-9]|8[0-4])') THEN 'mtn_momo' WHEN regexp_matches(substr(phone, 4), '^6(5[5-9]|9[0-9]|8[5-9])') THEN 'orange_money' END AS operator FROM p"),
+    "phone_operator": (lambda s, d: read(s, d, "customer").select("c_custkey", T.phone(phone()).alias("phone"), T.phone_operator(phone()).alias("operator")), "WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '2376' || lpad(((c_custkey * 7919) % 100000000)::VARCHAR, 8, '0') ELSE '2376' || lpad(((c_custkey * 1000003) % 100000000)::VARCHAR, 8, '0') END AS phone FROM customer) SELECT c_custkey, phone, CASE WHEN regexp_matches(substr(phone, 4), '^6(5[0-4]|7[0-9]|8[0-4])') THEN 'mtn_momo' WHEN regexp_matches(substr(phone, 4), '^6(5[5-9]|9[0-9]|8[5-9])') THEN 'orange_money' END AS operator FROM p"),
     "font_class": (fonts, FONTS_SQL),
     "join_lines": (lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(T.joined_lines(F.split(F.regexp_replace("text", r"([a-zäöüé]) ([a-z])", "$1-\n$2"), "\n")), 256).alias("h")), None),
     "line_signals": (lambda s, d: doc_lines(s, d).select("doc_id", "seq", T.ends_sentence(F.col("text")).alias("ends"), T.starts(F.col("text"), "Lu").alias("capital"), T.starts(F.col("text"), "Ll").alias("lower"), T.first_word(F.col("text")).alias("first"), T.last_word(F.col("text")).alias("last")), f"""WITH {LINES_SQL} SELECT doc_id, seq, regexp_matches(text, '[.!?…]["”’'')]*\\s*$') AS ends, regexp_matches(regexp_extract(text, '[\\p{{L}}\\p{{Nd}}]'), '^\\p{{Lu}}') AS capital, regexp_matches(regexp_extract(text, '[\\p{{L}}\\p{{Nd}}]'), '^\\p{{Ll}}') AS lower,

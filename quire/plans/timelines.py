@@ -9,12 +9,11 @@ from quire.operators import folds
 from quire.plans.catalogue import BOXES_SQL, FILES_SQL, boxes, files
 from quire.plans.tables import read
 
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
 EVENTS_SQL = "e AS (SELECT *, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 
 
 def events(s, d):
-    return read(s, d, "events").withColumn("t", SECONDS)
+    return read(s, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
 
 
 def spaced_sql(gap: float, always: str = "false", key: str = "user_id") -> str:
@@ -36,13 +35,10 @@ def throttle(s, d):
     return folds.fold(e, ["user_id"], ["ts", "event_id"], folds.spaced("t", 7200, "last"), "allowed boolean", ["allowed"]).where("allowed").select("user_id", "event_id")
 
 
-SOURCE = F.element_at(F.array(*map(F.lit, ("frontend", "backend", "api"))), (F.col("event_id") % 3 + 1).cast("int"))
-
-
 def alert_cooldown(s, d):
     """Of each source's log: an alert whenever 50 entries or more are unhandled and the last alert is an hour back."""
     w = W.partitionBy("source").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    e = events(s, d).withColumn("source", SOURCE).withColumn("open", F.count_if(F.col("user_id") % 2 == 0).over(w)).where("open >= 50")
+    e = events(s, d).withColumn("source", F.element_at(F.array(*map(F.lit, ("frontend", "backend", "api"))), (F.col("event_id") % 3 + 1).cast("int"))).withColumn("open", F.count_if(F.col("user_id") % 2 == 0).over(w)).where("open >= 50")
     return folds.fold(e.select("source", "event_id", "ts", "t", "open"), ["source"], ["ts", "event_id"], folds.spaced("t", 3600), "alert boolean", ["alert"]).where("alert").select("source", "event_id", "open")
 
 
