@@ -98,3 +98,43 @@ def charged(size: str, limit: float) -> Callable[[], Callable[[dict], tuple]]:
         return step
 
     return start
+
+
+def batches(size: int, together: str) -> Callable[[], Callable[[dict], tuple]]:
+    """Step that numbers batches of at most ``size`` rows. ``together`` has how many rows from this one on
+    are headings with more rows after them; headings that would end a full batch open the next one."""
+
+    def start() -> Callable[[dict], tuple]:
+        state = {"held": 0, "n": 0}
+
+        def step(row: dict) -> tuple[int]:
+            if state["held"] and row[together] >= size - state["held"]:
+                state.update(held=0, n=state["n"] + 1)
+            state["held"] += 1
+            return (state["n"],)
+
+        return step
+
+    return start
+
+
+def spread(length: str, before: str, total: str, budget: int, head: int) -> Callable[[], Callable[[dict], tuple]]:
+    """Step that takes texts evenly over a whole of ``total`` characters, ``before`` of which came earlier:
+    all of them where the budget holds them, else heads, each of which moves the next place on by its
+    length times total / budget. Returns the characters taken, 0 for none."""
+
+    def start() -> Callable[[dict], tuple]:
+        due = [0.0]
+
+        def step(row: dict) -> tuple[int]:
+            if row[total] <= budget:
+                return (row[length],)
+            if row[before] < due[0]:
+                return (0,)
+            taken = min(row[length], head)
+            due[0] += max(taken * (row[total] / budget), 1.0)
+            return (taken,)
+
+        return step
+
+    return start

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,3 +39,71 @@ def neighbours(cells: DataFrame) -> DataFrame:
     w = W.partitionBy("sheet", "r").orderBy("c")
     held = F.when(F.col("occupied"), F.col("c"))
     return cells.withColumns({"left": F.max(held).over(w.rowsBetween(W.unboundedPreceding, -1)), "right": F.min(held).over(w.rowsBetween(1, W.unboundedFollowing))})
+
+
+def band_bounds(lines: DataFrame, bands: DataFrame) -> DataFrame:
+    """Room of each line (page, line_id, y0, y1) between its page's bands (band_id and box): the greatest
+    left and least right edge of the bands that it overlaps, or the edges of the nearest band."""
+    b = bands.select(F.col("page").alias("of"), F.col("band_id"), *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    over = (F.col("by1") > F.col("y0")) & (F.col("by0") < F.col("y1"))
+    away = F.abs((F.col("by0") + F.col("by1")) / 2 - (F.col("y0") + F.col("y1")) / 2)
+    near = F.min_by(F.struct("bx0", "bx1"), F.struct(away, F.col("band_id")))
+    out = lines.join(b, F.col("page") == F.col("of")).groupBy("page", "line_id").agg(F.max(F.when(over, F.col("bx0"))).alias("lo"), F.min(F.when(over, F.col("bx1"))).alias("hi"), near.alias("near"))
+    return out.select("page", "line_id", F.coalesce("lo", "near.bx0").alias("lo"), F.coalesce("hi", "near.bx1").alias("hi"))
+
+
+def justified(lines: DataFrame, size: float) -> DataFrame:
+    """Paragraphs (lines: para, place, x0, x1) set flush on both sides: three lines or more, most of them
+    at the left edge, and all but the last end at about the same right edge."""
+    w = W.partitionBy("para")
+    held = lines.withColumns({"left": F.min("x0").over(w), "last": F.max("place").over(w) == F.col("place")})
+    inner = F.when(~F.col("last"), F.col("x1"))
+    out = held.groupBy("para").agg(F.count("*").alias("n"), F.count_if(F.col("x0") - F.col("left") <= 3).alias("flush"), (F.max(inner) - F.min(inner)).alias("spread"), (F.max("x1") - F.min("x0")).alias("wide"))
+    return out.select("para", F.coalesce((F.col("n") >= 3) & (F.col("flush") >= 0.6 * F.col("n")) & (F.col("spread") <= F.greatest(F.lit(0.5 * size), 0.03 * F.col("wide"))), F.lit(False)).alias("justified"))
+
+
+def aligned_folios(lines: DataFrame) -> DataFrame:
+    """Trailing numbers (page, right, trailing) with another number's right edge within 2.5 points, by a
+    window over tenths of a point: no pairs are made."""
+    w = W.partitionBy("page").orderBy("tenth").rangeBetween(-25, 25)
+    out = lines.withColumn("tenth", F.bround(F.col("right") * 10).cast("long")).withColumn("aligned", F.count("*").over(w))
+    return out.where("trailing and aligned >= 2").drop("tenth")
+
+
+def visible(glyphs: DataFrame, covers: DataFrame) -> DataFrame:
+    """Glyphs (page, glyph_id, ch, box, seq) that show: one painted over later by an opaque box counts as
+    hidden, and of equal glyphs at one origin as many go, the first ones, as are hidden."""
+    c = covers.select(F.col("page").alias("of"), F.col("seq").alias("later"), *[F.col(x).alias("c" + x) for x in ("x0", "y0", "x1", "y1")])
+    inside = (F.col("x0") >= F.col("cx0") - 0.5) & (F.col("y0") >= F.col("cy0") - 0.5) & (F.col("x1") <= F.col("cx1") + 0.5) & (F.col("y1") <= F.col("cy1") + 0.5)
+    hidden = glyphs.join(c, (F.col("page") == F.col("of")) & (F.col("later") > F.col("seq")) & inside, "left_semi").select(F.col("glyph_id").alias("gone"), F.lit(1).alias("hid"))
+    w = W.partitionBy("page", "ch", F.round("x0"), F.round("y0"))
+    out = glyphs.join(hidden, F.col("glyph_id") == F.col("gone"), "left").withColumns({"n_hidden": F.count("hid").over(w), "nth": F.row_number().over(w.orderBy("glyph_id"))})
+    return out.where("nth > n_hidden").select(glyphs.columns)
+
+
+def composed(spans: DataFrame, gw: float) -> DataFrame:
+    """Text of each line (page, x0, x1, text): a space goes where the gap is wide and neither side has one."""
+    w = W.partitionBy("page").orderBy("x0", "box_id")
+    before = F.lag("text").over(w)
+    space = (F.col("x0") - F.lag("x1").over(w) > 0.30 * gw) & (before != "") & ~before.endswith(" ") & ~F.col("text").startswith(" ")
+    cut = spans.withColumn("part", F.concat(F.when(space, " ").otherwise(""), "text"))
+    return cut.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "box_id", "part"))), lambda x: x["part"]), "").alias("text"))
+
+
+def columns(boxes: DataFrame) -> DataFrame:
+    """Columns of each page, named by their least box: boxes that overlap sideways by more than a quarter
+    of the narrower one, and what hangs together through them. A page's boxes are one task's."""
+
+    def run(p):
+        x0, x1 = p["x0"].to_numpy(), p["x1"].to_numpy()
+        width = x1 - x0
+        shared = np.minimum.outer(x1, x1) - np.maximum.outer(x0, x0)
+        linked = (shared > 0.25 * np.maximum(1.0, np.minimum.outer(width, width))) | np.eye(len(p), dtype=bool)
+        label = p["box_id"].to_numpy()
+        while True:
+            least = np.where(linked, label, np.iinfo(np.int64).max).min(1)
+            if (least == label).all():
+                return p.assign(col=label)[["page", "box_id", "col"]]
+            label = least
+
+    return boxes.select("page", "box_id", "x0", "x1").groupBy("page").applyInPandas(run, "page long, box_id long, col long")

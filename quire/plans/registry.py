@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import billing, catalogue, errors, operations, texts, timelines
+from quire.plans import billing, catalogue, errors, operations, sheets, texts, timelines
 
-MODULES = (errors, catalogue, operations, texts, billing, timelines)
+MODULES = (errors, catalogue, operations, sheets, texts, billing, timelines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

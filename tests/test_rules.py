@@ -1,12 +1,13 @@
 """Vectors of rules that SQL cannot express or that the test tables hardly reach."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import tagged, text
-from quire.operators import folds, plans
+from quire.functions import formulas, tagged, text
+from quire.operators import folds, layout, plans
 
 
 @pytest.mark.parametrize(("parts", "given", "want"), [
@@ -66,3 +67,43 @@ def test_clusters(spark):
     d = spark.createDataFrame([(1, x) for x in (1.0, 1.4, 1.8, 5.0)], "p int, x double")
     got = folds.fold(d, ["p"], ["x"], folds.anchored("x", 0.5), "c long", ["c"]).orderBy("x").collect()
     assert [r.c for r in got] == [0, 0, 1, 2]
+
+
+@pytest.mark.parametrize(("formula", "want"), [
+    ("", ""), ("A1+B2", "A1+B2"), ("Old!A1", "New!A1"), ("Old !A1", "New !A1"), ('"Old!"&Old!A1', '"Old!"&New!A1'),
+    ("[2]Old!A1", "[2]Old!A1"), ("Older!A1", "Older!A1"), ("'It''s'!A1:Old!B2", "'a b''c'!A1:New!B2"), ("'Old':Old!A1", "New:New!A1"),
+])
+def test_sheet_refs(spark, formula, want):
+    names = F.create_map(F.lit("Old"), F.lit("New"), F.lit("It's"), F.lit("a b'c"))
+    d = spark.createDataFrame([(formula,)], "f string")
+    assert d.select(formulas.sheet_refs(F.col("f"), names)).first()[0] == want
+
+
+def test_batches():
+    """Against lists: a full batch hands its last headings on, but never its only row."""
+    rnd = random.Random(3)
+    for _ in range(300):
+        heads = [rnd.random() < 0.5 for _ in range(rnd.randrange(1, 30))]
+        size = rnd.randrange(1, 6)
+        done, now = [], []
+        for i in range(len(heads)):
+            if len(now) >= size:
+                cut = len(now)
+                while cut > 1 and heads[now[cut - 1]]:
+                    cut -= 1
+                done.append(now[:cut])
+                now = now[cut:]
+            now.append(i)
+        want = [n for n, batch in enumerate([*done, now]) for _ in batch]
+        step, got = folds.batches(size, "t")(), []
+        for i in range(len(heads)):
+            run = next((j for j in range(i, len(heads)) if not heads[j]), len(heads)) - i
+            got.append(step({"t": min(run, len(heads) - 1 - i)})[0])
+        assert got == want
+
+
+def test_columns(spark):
+    """Boxes of a chain are one column; a touch of a quarter of the width or less joins none."""
+    rows = [(1, 3, 0.0, 10.0), (1, 2, 8.0, 20.0), (1, 1, 16.0, 30.0), (1, 9, 27.5, 37.5), (2, 4, 0.0, 0.0)]
+    b = spark.createDataFrame(rows, "page long, box_id long, x0 double, x1 double")
+    assert {(r.box_id, r.col) for r in layout.columns(b).collect()} == {(3, 3), (2, 1), (1, 1), (9, 9), (4, 4)}
