@@ -138,3 +138,64 @@ def spread(length: str, before: str, total: str, budget: int, head: int) -> Call
         return step
 
     return start
+
+
+def nearest(value: str, tolerance: float) -> Callable[[], Callable[[dict], tuple]]:
+    """Step that numbers groups, each within ``tolerance`` of its first value; a row joins the oldest one
+    that it fits. The state is one value for each group."""
+
+    def start() -> Callable[[dict], tuple]:
+        firsts: list[float] = []
+
+        def step(row: dict) -> tuple[int]:
+            for n, first in enumerate(firsts):
+                if abs(first - row[value]) <= tolerance:
+                    return (n,)
+            firsts.append(row[value])
+            return (len(firsts) - 1,)
+
+        return step
+
+    return start
+
+
+def stacked(top: str, bottom: str) -> Callable[[], Callable[[dict], tuple]]:
+    """Step that numbers rows of blocks by rising top: a block joins the first row with which it shares
+    more than half of the lower one's height, and the row grows by it."""
+
+    def start() -> Callable[[dict], tuple]:
+        rows: list[list[float]] = []
+
+        def step(row: dict) -> tuple[int]:
+            a, b = row[top], row[bottom]
+            for n, held in enumerate(rows):
+                if min(b, held[1]) - max(a, held[0]) > 0.5 * max(1.0, min(b - a, held[1] - held[0])):
+                    held[:] = min(a, held[0]), max(b, held[1])
+                    return (n,)
+            rows.append([a, b])
+            return (len(rows) - 1,)
+
+        return step
+
+    return start
+
+
+def renamed(name: str, offer: str, taken: str) -> Callable[[], Callable[[dict], tuple]]:
+    """Step that takes a new name (null: none) unless another row holds it by then, whatever its case; the
+    old name is then free. ``taken`` has the key's names in lower case."""
+
+    def start() -> Callable[[dict], tuple]:
+        held: set[str] = set()
+
+        def step(row: dict) -> tuple[str]:
+            held.update(() if held else row[taken])
+            old, new = row[name].lower(), (row[offer] or "").lower()
+            if not new or row[offer] == row[name] or new in held - {old}:
+                return (row[name],)
+            held.discard(old)
+            held.add(new)
+            return (row[offer],)
+
+        return step
+
+    return start

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def bands(boxes: DataFrame) -> DataFrame:
     """Vertical bands of a page: a box opens one if it begins below all boxes before it."""
@@ -107,3 +109,72 @@ def columns(boxes: DataFrame) -> DataFrame:
             label = least
 
     return boxes.select("page", "box_id", "x0", "x1").groupBy("page").applyInPandas(run, "page long, box_id long, col long")
+
+
+def list_items(lines: DataFrame) -> DataFrame:
+    """Lines (page, line_id, left, top, text) whose marker (5. or (b)) has a neighbour one up or down right
+    before or after it among the markers at the same left edge, within 1.5 points of the edge's first."""
+    token = F.regexp_extract("text", r"^\s*\(?(\d{1,3}|[a-zA-Z])[.)]\s+", 1)
+    marks = lines.withColumn("token", token).where("token <> ''").withColumn("kind", F.col("token").rlike("^[0-9]"))
+    marks = marks.withColumn("rank", F.when(F.col("kind"), F.expr("try_cast(token AS INT)")).otherwise(F.ascii(F.lower("token"))))
+    marks = folds.fold(marks.select("page", "line_id", "left", "top", "kind", "rank"), ["page"], ["line_id"], folds.nearest("left", 1.5), "edge long", ["edge"])
+    w = W.partitionBy("page", "edge").orderBy("top", "line_id")
+    meets = lambda f, by: F.coalesce((f("kind").over(w) == F.col("kind")) & (f("rank").over(w) == F.col("rank") + by), F.lit(False))
+    return marks.withColumn("item", meets(F.lag, -1) | meets(F.lead, 1)).where("item").select("page", "line_id")
+
+
+def overhead(paras: DataFrame, obstacles: DataFrame, size: float, gap: float) -> DataFrame:
+    """The narrowest block right above each paragraph that holds it sideways and is narrower than its frame."""
+    o = obstacles.select(F.col("page").alias("of"), *[F.col(c).alias("o" + c) for c in ("x0", "y0", "x1", "y1")])
+    wide = F.col("ox1") - F.col("ox0")
+    near = (F.col("oy1") <= F.col("y0") + 1) & (F.col("y0") - F.col("oy1") <= gap * size)
+    block = (F.col("oy1") - F.col("oy0") >= size) & (wide >= size) & (wide < F.col("f1") - F.col("f0"))
+    holds = (F.col("ox0") <= F.col("x0") + 1) & (F.col("ox1") >= F.col("x1") - 1)
+    best = F.min_by(F.struct("ox0", "ox1"), F.struct(wide, F.col("ox0"))).alias("best")
+    return paras.join(o, (F.col("page") == F.col("of")) & near & block & holds).groupBy("page", "box_id").agg(best).select("page", "box_id", "best.*")
+
+
+def reading_order(x: np.ndarray) -> list[int]:
+    """Order in which boxes (rows x0, y0, x1, y1) are read, by cuts through empty bands: side by side
+    before one below the other, and blocks that share a white column are read as one."""
+
+    def split(ids: list[int], axis: int) -> list[list[int]]:
+        ids = sorted(ids, key=lambda i: (x[i, axis], x[i, 1 - axis]))
+        reach = np.maximum.accumulate(x[ids, axis + 2])
+        cuts = np.flatnonzero(x[ids[1:], axis] >= reach[:-1]) + 1
+        return [list(map(int, g)) for g in np.split(np.array(ids), cuts)]
+
+    def aside(ids: list[int]) -> bool:
+        return len(split(ids, 0)) > 1
+
+    out: list[int] = []
+    todo = [list(range(len(x)))] if len(x) else []
+    while todo:
+        ids = todo.pop()
+        if len(ids) == 1:
+            out += ids
+            continue
+        parts = split(ids, 0)
+        if len(parts) == 1:
+            parts = []
+            for block in split(ids, 1):
+                if parts and aside(parts[-1]) and aside(block) and aside(parts[-1] + block):
+                    parts[-1] = parts[-1] + block
+                else:
+                    parts.append(block)
+            if len(parts) == 1:
+                out += sorted(ids, key=lambda i: (x[i, 1], x[i, 0]))
+                continue
+        todo += parts[::-1]
+    return out
+
+
+def read_in_order(boxes: DataFrame) -> DataFrame:
+    """Place of each box in its page's reading order; a page's boxes are one task's."""
+
+    def run(p):
+        p = p.sort_values("box_id")
+        order = reading_order(p[["x0", "y0", "x1", "y1"]].to_numpy())
+        return p.iloc[order].assign(place=np.arange(len(p)))[["page", "box_id", "place"]]
+
+    return boxes.select("page", "box_id", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(run, "page long, box_id long, place long")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import billing, catalogue, containers, errors, operations, sheets, texts, timelines
+from quire.plans import billing, catalogue, containers, errors, operations, reading, sheets, texts, timelines
 
-MODULES = (errors, catalogue, operations, sheets, containers, texts, billing, timelines)
+MODULES = (errors, catalogue, operations, sheets, reading, containers, texts, billing, timelines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,10 +3,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import formulas, tagged, text
+from quire.functions import answers, formulas, tagged, text
 from quire.operators import folds, layout, plans
 
 
@@ -107,3 +108,33 @@ def test_columns(spark):
     rows = [(1, 3, 0.0, 10.0), (1, 2, 8.0, 20.0), (1, 1, 16.0, 30.0), (1, 9, 27.5, 37.5), (2, 4, 0.0, 0.0)]
     b = spark.createDataFrame(rows, "page long, box_id long, x0 double, x1 double")
     assert {(r.box_id, r.col) for r in layout.columns(b).collect()} == {(3, 3), (2, 1), (1, 1), (9, 9), (4, 4)}
+
+
+@pytest.mark.parametrize(("boxes", "want"), [
+    ([], []), ([(0, 0, 1, 1)], [0]),
+    ([(0, 20, 40, 30), (60, 20, 99, 30), (0, 40, 40, 50), (60, 40, 99, 50), (0, 0, 99, 10)], [4, 0, 2, 1, 3]),
+    ([(0, 20, 50, 30), (0, 0, 50, 10), (40, 40, 90, 50)], [1, 0, 2]),
+    ([(5, 0, 20, 10), (0, 5, 15, 12)], [0, 1]),
+])
+def test_reading_order(boxes, want):
+    assert layout.reading_order(np.array(boxes, float).reshape(-1, 4)) == want
+
+
+def test_stacked():
+    step = folds.stacked("a", "b")()
+    assert [step({"a": a, "b": b})[0] for a, b in ((0, 10), (2, 9), (9, 19), (12, 18), (30, 31))] == [0, 0, 1, 1, 2]
+
+
+def test_window():
+    page = [f"{i} " * 10 for i in range(9)]
+    assert answers.window(page, {0}, (4, 5)).startswith("# 0 0") and len(answers.window(page, set(), (4, 5), 50)) == 50
+    assert answers.window(page, set(), (4, 5), 30).split("\n")[0] == "3 3 3 3 3 3 3 3 3 3"
+    assert answers.window(["a", None, " b  c "], {2}, (0, 1)) == "a\n# b c" and answers.window([], set(), (0, 1)) == ""
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (None, None), ("", None), ("3", None), ("{}", {}), ('[{"id": 1, "text": "a"}, 2]', {"1": "a"}),
+    ('x ```json\n{"translations": [{"id": "b", "translated_text": "c"}]}``` y', {"b": "c"}), ('{"k": "v", "n": 1}', {"k": "v"}),
+])
+def test_translations(text, want):
+    assert answers.translations(text) == want
