@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,23 +96,47 @@ def composed(spans: DataFrame, gw: float) -> DataFrame:
     return cut.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "box_id", "part"))), lambda x: x["part"]), "").alias("text"))
 
 
+def by_page(boxes: DataFrame, solve: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, *edges: str) -> DataFrame:
+    """(page, box_id, ``name``): what ``solve`` gives for the ids and the named edges of each page's boxes. Rows come
+    sorted by page, so that a task holds one page at a time besides a batch, and no page costs a call of Python's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for b in chain(batches, [None]):
+            now = rest
+            if b is not None:
+                if not b.num_rows:
+                    continue
+                now = [c.to_numpy() for c in b.columns]
+                now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+                last = np.searchsorted(now[0], now[0][-1])
+                rest, now = [c[last:] for c in now], [c[:last] for c in now]
+            if now is None or not len(now[0]):
+                continue
+            x = np.stack(now[2:], 1)
+            cuts = [0, *(np.flatnonzero(np.diff(now[0])) + 1), len(now[0])]
+            got = np.concatenate([solve(now[1][i:j], x[i:j]) for i, j in pairwise(cuts)])
+            yield pa.RecordBatch.from_arrays([pa.array(now[0]), pa.array(now[1]), pa.array(got)], ["page", "box_id", name])
+
+    rows = boxes.selectExpr("bigint(page) AS page", "bigint(box_id) AS box_id", *[f"double({c}) AS {c}" for c in edges])
+    return rows.repartition("page").sortWithinPartitions("page", "box_id").mapInArrow(run, f"page long, box_id long, {name} long")
+
+
 def columns(boxes: DataFrame) -> DataFrame:
     """Columns of each page, named by their least box: boxes that overlap sideways by more than a quarter
-    of the narrower one, and what hangs together through them. A page's boxes are one task's."""
+    of the narrower one, and what hangs together through them."""
 
-    def run(p):
-        x0, x1 = p["x0"].to_numpy(), p["x1"].to_numpy()
-        width = x1 - x0
+    def solve(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+        x0, x1 = x.T
         shared = np.minimum.outer(x1, x1) - np.maximum.outer(x0, x0)
-        linked = (shared > 0.25 * np.maximum(1.0, np.minimum.outer(width, width))) | np.eye(len(p), dtype=bool)
-        label = p["box_id"].to_numpy()
+        linked = (shared > 0.25 * np.maximum(1.0, np.minimum.outer(x1 - x0, x1 - x0))) | np.eye(len(x), dtype=bool)
         while True:
             least = np.where(linked, label, np.iinfo(np.int64).max).min(1)
             if (least == label).all():
-                return p.assign(col=label)[["page", "box_id", "col"]]
+                return label
             label = least
 
-    return boxes.select("page", "box_id", "x0", "x1").groupBy("page").applyInPandas(run, "page long, box_id long, col long")
+    return by_page(boxes, solve, "col", "x0", "x1")
 
 
 def list_items(lines: DataFrame) -> DataFrame:
@@ -170,11 +198,11 @@ def reading_order(x: np.ndarray) -> list[int]:
 
 
 def read_in_order(boxes: DataFrame) -> DataFrame:
-    """Place of each box in its page's reading order; a page's boxes are one task's."""
+    """Place of each box in its page's reading order."""
 
-    def run(p):
-        p = p.sort_values("box_id")
-        order = reading_order(p[["x0", "y0", "x1", "y1"]].to_numpy())
-        return p.iloc[order].assign(place=np.arange(len(p)))[["page", "box_id", "place"]]
+    def solve(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        place = np.empty(len(x), np.int64)
+        place[reading_order(x)] = np.arange(len(x))
+        return place
 
-    return boxes.select("page", "box_id", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(run, "page long, box_id long, place long")
+    return by_page(boxes, solve, "place", "x0", "y0", "x1", "y1")
