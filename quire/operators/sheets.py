@@ -6,14 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def column_widths(cells: DataFrame, ranges: DataFrame, default: float) -> DataFrame:
-    """Width of each column in use: that of the sheet's first range (ord, lo, hi, width) that holds it,
-    else the default. Columns are taken once each before they meet the ranges."""
-    r = ranges.withColumnRenamed("sheet", "of")
-    met = cells.select("sheet", "c").distinct().join(r, (F.col("sheet") == F.col("of")) & F.col("c").between(F.col("lo"), F.col("hi")), "left")
-    return met.groupBy("sheet", "c").agg(F.coalesce(F.min_by("width", "ord"), F.lit(default)).alias("width"))
-
-
 def merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Cells within a merged range (r0, c0, r1, c1) of their sheet."""
     m = merges.withColumnRenamed("sheet", "of")

@@ -12,8 +12,6 @@ from quire.plans.tables import read
 
 CELLS = "l_orderkey AS sheet, l_linenumber::BIGINT AS r, l_partkey % 12 AS c, l_suppkey % 9 AS style, l_partkey % 40 AS string_id, l_suppkey % 10 <> 0 AS translated"
 CELLS_SQL = f"cells AS (SELECT {CELLS} FROM lineitem)"
-RANGES = [(0, "o_orderkey % 5", "o_orderkey % 5 + 3", "8.5"), (1, "o_orderkey % 7", "o_orderkey % 7 + 5", "CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 12.25 END")]
-RANGES_SQL = "ranges AS (" + " UNION ALL ".join(f"SELECT o_orderkey AS sheet, {n} AS ord, {lo} AS lo, {hi} AS hi, ({w})::DOUBLE AS width FROM orders" for n, lo, hi, w in RANGES) + ")"
 MERGES = "o_orderkey AS sheet, 1 AS r0, 1 + o_orderkey % 3 AS r1, o_custkey % 6 AS c0, o_custkey % 6 + 4 AS c1"
 #: Styles of the test workbook: index, font, size.
 STYLES = [(0, "base", 10.0), (1, "bold", 10.0), (2, "title", 14.0), (3, "note", 8.0)]
@@ -23,12 +21,6 @@ def cells(s, d):
     return read(s, d, "lineitem").selectExpr(*CELLS.split(", "))
 
 
-def widths(s, d):
-    o = read(s, d, "orders")
-    parts = [o.selectExpr("o_orderkey AS sheet", f"{n} AS ord", f"{lo} AS lo", f"{hi} AS hi", f"double({w}) AS width") for n, lo, hi, w in RANGES]
-    return sheets.column_widths(cells(s, d), parts[0].union(parts[1]), 9.0)
-
-
 def merged(s, d):
     return sheets.merged(cells(s, d), read(s, d, "orders").selectExpr(*MERGES.split(", "))).select("sheet", "r", "c")
 
@@ -181,7 +173,6 @@ f AS (SELECT *, CASE WHEN "natural" > avail THEN floor(len * (avail / "natural")
 BUDGET_SQL = BUDGET_SQL.replace("AS natural,", 'AS "natural",')
 
 QUERIES = {
-    "col_widths": (widths, f"WITH {CELLS_SQL}, {RANGES_SQL} SELECT DISTINCT c.sheet, c.c, coalesce((SELECT arg_min(width, ord) FROM ranges r WHERE r.sheet = c.sheet AND c.c BETWEEN lo AND hi), 9.0) AS width FROM cells c"),
     "merged_cells": (merged, f"WITH {CELLS_SQL}, m AS (SELECT {MERGES} FROM orders) SELECT c.sheet, r, c FROM cells c JOIN m ON m.sheet = c.sheet AND r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1"),
     "cell_styles": (styled, f"WITH {CELLS_SQL}, s(style, font, size) AS (VALUES {', '.join(map(str, STYLES))}) SELECT sheet, r, s.style::BIGINT AS style, font, size::DOUBLE AS size FROM cells c JOIN s ON s.style = CASE WHEN c.style > 3 THEN 0 ELSE c.style END"),
     "sheet_ready": (lambda s, d: sheets.ready(cells(s, d)), f"WITH {CELLS_SQL} SELECT sheet, count(DISTINCT string_id) AS strings, bool_and(translated) AS ready FROM cells GROUP BY 1"),
