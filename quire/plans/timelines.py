@@ -135,10 +135,10 @@ def merge_bars(s, d):
 
 
 def title_or_body(s, d):
-    """Body size of each page, that of most characters (of equals the first met), and whether a box is larger."""
+    """Body size of each page, that of most characters (of equals the first met, of those the smaller), and whether a box is larger."""
     b = read(s, d, "lineitem").selectExpr("l_orderkey AS page", "l_orderkey * 10 + l_linenumber AS box_id", "8 + l_suppkey % 5 AS size", "CAST(l_quantity AS BIGINT) AS chars")
     per = b.groupBy("page", "size").agg(F.sum("chars").alias("chars"), F.min("box_id").alias("first"))
-    body = per.groupBy("page").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("body"))
+    body = per.groupBy("page").agg(F.max_by("size", F.struct("chars", -F.col("first"), -F.col("size"))).alias("body"))
     return b.join(body, "page").groupBy("page", "box_id", "size", "body").agg(F.count("*").alias("n")).select("page", "box_id", "body", (F.col("size") > F.col("body")).alias("title"))
 
 
@@ -192,7 +192,7 @@ QUERIES = {
     "preview_state": (preview_state, "SELECT user_id AS doc, event_id % 5 AS page, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY 1, 2"),
     "sweep_report": (sweep_report, f"WITH {FILES_SQL} SELECT CASE mtime % 3 WHEN 0 THEN 'output' WHEN 1 THEN 'render' ELSE 'translation' END AS kind, count(*) AS n, count(DISTINCT root) AS roots, sum(size)::BIGINT AS bytes FROM files WHERE mtime % 7 < 5 GROUP BY 1"),
     "merge_bars": (merge_bars, f"WITH {BOXES_SQL}, b AS (SELECT *, floor(y0 / 4 + 0.5)::BIGINT AS line FROM boxes), r AS (SELECT *, max(x1) OVER (PARTITION BY page, line ORDER BY x0, x1, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b), n AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 - reach > 1.2 * (y1 - y0) THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY x0, x1, box_id ROWS UNBOUNDED PRECEDING)::BIGINT AS bar FROM r) SELECT page, line, bar, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM n GROUP BY 1, 2, 3"),
-    "title_or_body": (title_or_body, "WITH b AS (SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS box_id, 8 + l_suppkey % 5 AS size, l_quantity::BIGINT AS chars FROM lineitem), per AS (SELECT page, size, sum(chars) AS chars, min(box_id) AS first FROM b GROUP BY 1, 2), body AS (SELECT page, arg_max(size, (chars, -first)) AS body FROM per GROUP BY 1) SELECT DISTINCT page, box_id, size, body, size > body AS title FROM b JOIN body USING (page)".replace("SELECT DISTINCT page, box_id, size, body, size > body AS title FROM b JOIN body USING (page)", "SELECT page, box_id, body, size > body AS title FROM (SELECT DISTINCT page, box_id, size, body FROM b JOIN body USING (page))")),
+    "title_or_body": (title_or_body, "WITH b AS (SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS box_id, 8 + l_suppkey % 5 AS size, l_quantity::BIGINT AS chars FROM lineitem), per AS (SELECT page, size, sum(chars) AS chars, min(box_id) AS first FROM b GROUP BY 1, 2), body AS (SELECT page, arg_max(size, (chars, -first, -size)) AS body FROM per GROUP BY 1) SELECT DISTINCT page, box_id, size, body, size > body AS title FROM b JOIN body USING (page)".replace("SELECT DISTINCT page, box_id, size, body, size > body AS title FROM b JOIN body USING (page)", "SELECT page, box_id, body, size > body AS title FROM (SELECT DISTINCT page, box_id, size, body FROM b JOIN body USING (page))")),
     "para_order": (para_order, f"WITH {BOXES_SQL} SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY round_even(y0, 1), x0, box_id)::INT AS place FROM (SELECT DISTINCT * FROM boxes)"),
     "edge_clusters": (edge_clusters, f"{PAGE_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x0, box_id) AS rn FROM boxes), f AS (SELECT page, rn, box_id, x0 AS first, 0::BIGINT AS cluster FROM e WHERE rn = 1 UNION ALL SELECT e.page, e.rn, e.box_id, CASE WHEN e.x0 - f.first > 60 THEN e.x0 ELSE f.first END, f.cluster + CASE WHEN e.x0 - f.first > 60 THEN 1 ELSE 0 END FROM f JOIN e ON e.page = f.page AND e.rn = f.rn + 1) SELECT page, box_id, cluster FROM f"),
     "baseline_rows": (baseline_rows, f"{PAGE_SQL}, e AS (SELECT page, box_id, y1 AS base, (box_id % 40 + 8)::DOUBLE AS size, row_number() OVER (PARTITION BY page ORDER BY round_even(y1, 1), x0, box_id) AS rn FROM boxes), f AS (SELECT page, rn, box_id, base AS last, size AS first, 0::BIGINT AS line FROM e WHERE rn = 1 UNION ALL SELECT e.page, e.rn, e.box_id, e.base, CASE WHEN abs(e.base - f.last) > 0.45 * greatest(least(e.size, f.first), 1) THEN e.size ELSE f.first END, f.line + CASE WHEN abs(e.base - f.last) > 0.45 * greatest(least(e.size, f.first), 1) THEN 1 ELSE 0 END FROM f JOIN e ON e.page = f.page AND e.rn = f.rn + 1) SELECT page, box_id, line FROM f"),
