@@ -134,13 +134,15 @@ def font_base(name: Column) -> Column:
 
 
 def joined_lines(lines: Column) -> Column:
-    """A paragraph's lines as one text: a word cut by a hyphen at a line's end is made whole."""
-    def add(out: Column, line: Column) -> Column:
-        cut = out.rlike(r"(?s)\p{L}-$") & line.rlike(r"^\p{Ll}")
-        return F.when(out == "", line).when(cut, F.concat(F.substring(out, F.lit(1), F.length(out) - 1), line)).otherwise(F.concat(out, F.lit(" "), line))
-
-    trimmed = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    return F.regexp_replace(F.aggregate(trimmed, F.lit(""), add), r"\s{2,}", " ")
+    """A paragraph's lines as one text: a word cut by a hyphen at a line's end is made whole.
+
+    Only the edges of two lines decide how they join, so the lines are put into one string, with a mark
+    (2) between them that no line holds (1 escapes it), and each rule is one pass over that string."""
+    marked = F.transform(lines, lambda x: F.replace(F.replace(x, F.lit("\x01"), F.lit("\x01\x03")), F.lit("\x02"), F.lit("\x01\x04")))
+    one = F.regexp_replace(F.array_join(marked, "\x02"), r"^\s++|(?<!\s)\s*+\x02[\s\x02]*+|(?<!\s)\s++\z", "\x02")
+    whole = F.regexp_replace(F.btrim(one, F.lit("\x02")), r"-\x02(?<=\p{L}-\x02)(?=\p{Ll})", "")
+    clean = F.regexp_replace(F.translate(whole, "\x02", " "), r"\s{2,}", " ")
+    return F.replace(F.replace(clean, F.lit("\x01\x04"), F.lit("\x02")), F.lit("\x01\x03"), F.lit("\x01"))
 
 
 def ends_sentence(c: Column) -> Column:

@@ -1,7 +1,9 @@
 """Vectors of rules that SQL cannot express or that the test tables hardly reach."""
 
 import datetime as dt
+import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +41,18 @@ def test_joined_lines(spark):
     assert [r[0] for r in d.select(text.joined_lines(F.col("x"))).collect()] == ["transport of goods", "A- Big", "1- a", ""]
 
 
+def test_joined_lines_long(spark):
+    """60,000 cut lines in one text: the work follows the length, not its square."""
+    n = 60_000
+    d = spark.range(1).select(F.split(F.repeat(F.lit("word-\n"), n), "\n").alias("x"))
+    began = time.monotonic()
+    assert d.select(F.sha2(text.joined_lines(F.col("x")), 256)).first()[0] == hashlib.sha256(("word" * (n - 1) + "word-").encode()).hexdigest()
+    assert time.monotonic() - began < 20
+    odd = [(["-", "a"],), (["a", "-", "b"],), (["x-", "y-", "z"],), ([" ab-\t", None, "\x0b", "cd" + " " * 3000 + "e "],), (None,), ([],), (["a\x01-", "\x02b", "\x01\x04-", "c", "d\x01\x03"],), ([" ", "a ", "", " \t", " b- ", "", "c"],)]
+    got = [r[0] for r in spark.createDataFrame(odd, "x array<string>").select(text.joined_lines(F.col("x"))).collect()]
+    assert got == ["- a", "a - b", "xyz", "abcd e", None, "", "a\x01- \x02b \x01\x04- c d\x01\x03", "a bc"]
+
+
 def test_pages(spark):
     d = spark.createDataFrame([("5-1",), ("3--5",), ("-5",), (" 2 , x",), ("",), ("0",), ("1,2,9",)], "s string").select(text.page_set(F.col("s")).alias("p"))
     got = d.select("p", text.page_token(F.col("p")).alias("t")).collect()
