@@ -111,6 +111,33 @@ def test_suffix_tree_depth(spark):
         assert [got[i] for i in range(len(texts))] == pytest.approx(want)
 
 
+def test_suffix_tree_pieces(spark):
+    """Later rounds read only the words around places that may have support: of texts of 300 words of
+    their own around a common passage of 20, the passage, not the texts."""
+    common = words(" ".join(f"w{i}" for i in range(20)))
+    texts = [[f"a{j}_{i}" for i in range(150)] + common + [f"b{j}_{i}" for i in range(150)] for j in range(12)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = suffix_tree.training(spark.createDataFrame(rows, "doc_id long, text string"))
+    n = docs.where("not held_out").count()
+
+    class All:
+        def __init__(self, grams):
+            self.value, self.keys = self, np.array(sorted(grams), np.uint64)
+
+        def has(self, x):
+            return np.isin(x, self.keys)
+
+    t = suffix_tree.Tokens([" ".join(common).encode()])
+    kept, grown, x = [], [None], t.hash[:20]
+    for k in range(3):
+        kept.append(All(x.tolist()))
+        grown.append(All(x.tolist()))
+        x = suffix_tree._grow(x[1:], t.hash[: len(x) - 1])
+    got = suffix_tree.holding(docs, kept, grown, 3).collect()
+    assert len(got) == n and all(np.frombuffer(r.lengths, np.int32).tolist() == [21] for r in got)
+    assert all(np.frombuffer(r.pieces, np.uint64)[:20].tolist() == t.hash[:20].tolist() for r in got)
+
+
 def test_repeats(docs):
     raw = [(t or "").encode() for t in TEXTS]
     c = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
