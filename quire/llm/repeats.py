@@ -114,43 +114,48 @@ def anchors(docs: DataFrame, size: int = SIZE, piece: int = 1 << 22) -> DataFram
     return docs.select("doc", "key", "text").mapInArrow(run, ANCHORS)
 
 
-def merge(contexts: list[bytes], leads: np.ndarray, grams: np.ndarray, shards: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
+def merge(contexts: list[bytes], leads: np.ndarray, grams: np.ndarray, shards: np.ndarray, size: int = SIZE, room: int = 1 << 20) -> list[np.ndarray]:
     """Of each context, whether the string at each of its starts also starts in another one here.
 
     Strings of equal ``gram`` and equal distance to it are compared; shards are merged block by
-    block as described above."""
+    block as described above, for so many distances at a time that about ``room`` starts are held."""
     lens = np.array([len(c) for c in contexts])
     count = lens - size + 1
     buf = np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8)
     # the eight bytes from each place as one symbol
     words = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    base = np.cumsum(lens) - lens
-    owner = np.repeat(np.arange(len(lens)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = base[owner] + offset
-    # one block for each anchor and distance to it
-    block = mix(grams[owner] + (leads[owner] - offset).astype(U64) * U64(0x9E3779B97F4A7C15))
-    order = np.lexsort((shards[owner], block))
-    live, block = order, block[order]
-    shared = np.zeros(len(owner), bool)
-    depth = 0
-    while len(live):
-        edge = np.concatenate([[True], block[1:] != block[:-1]])
-        alone = edge & np.concatenate([edge[1:], [True]])
-        live, block = live[~alone], block[~alone]
-        if depth >= size or not len(live):
-            break
-        step = min(8, size - depth)
-        symbol = np.zeros(len(live), U64)
-        got = words[at[live] + depth]
-        for i in range(step):
-            symbol = (symbol << U64(8)) | got[:, i].astype(U64)
-        rank = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
-        order = np.lexsort((symbol, rank))  # stable: within a block shards keep their order
-        live, rank, symbol = live[order], rank[order], symbol[order]
-        block = np.cumsum(np.concatenate([[0], (rank[1:] != rank[:-1]) | (symbol[1:] != symbol[:-1])]))
-        depth += step
-    shared[live] = True
+    base, put = np.cumsum(lens) - lens, np.cumsum(count) - count
+    shared = np.zeros(int(count.sum()), bool)
+    near, far = int((leads - count).min()) + 1, int(leads.max()) + 1
+    width = max(1, (far - near) * room // max(1, len(shared)))
+    for d in range(near, far, width):
+        first = np.clip(leads - d - width + 1, 0, count)
+        some = np.clip(leads - d + 1, first, count) - first
+        owner = np.repeat(np.arange(len(lens)), some)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(some) - some, some) + first[owner]
+        at = base[owner] + offset
+        # one block for each anchor and distance to it
+        block = mix(grams[owner] + (leads[owner] - offset).astype(U64) * U64(0x9E3779B97F4A7C15))
+        order = np.lexsort((shards[owner], block))
+        live, block = order, block[order]
+        depth = 0
+        while len(live):
+            edge = np.concatenate([[True], block[1:] != block[:-1]])
+            alone = edge & np.concatenate([edge[1:], [True]])
+            live, block = live[~alone], block[~alone]
+            if depth >= size or not len(live):
+                break
+            step = min(8, size - depth)
+            symbol = np.zeros(len(live), U64)
+            got = words[at[live] + depth]
+            for i in range(step):
+                symbol = (symbol << U64(8)) | got[:, i].astype(U64)
+            rank = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
+            order = np.lexsort((symbol, rank))  # stable: within a block shards keep their order
+            live, rank, symbol = live[order], rank[order], symbol[order]
+            block = np.cumsum(np.concatenate([[0], (rank[1:] != rank[:-1]) | (symbol[1:] != symbol[:-1])]))
+            depth += step
+        shared[put[owner[live]] + offset[live]] = True
     return np.split(shared, np.cumsum(count)[:-1])
 
 
@@ -164,25 +169,33 @@ def contexts(docs: DataFrame, wanted: DataFrame, size: int, hot: int) -> DataFra
     per = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "first", "n", "lead", (F.col("wholes") > hot).alias("hot"))).alias("runs")).toDF("d", "k", "runs")
     both = docs.join(per.hint("shuffle_hash"), (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k"))).select("doc", "key", "text", "runs")
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in CONTEXTS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         for rows, texts in chunks(batches):
-            out = []
+            out, held = [], 0
             for doc, key, text, rs in zip(rows.column("doc").to_pylist(), rows.column("key").to_pylist(), texts, rows.column("runs").to_pylist(), strict=True):
                 for r in rs:
                     lo, n = r["first"], r["n"]
                     if not r["hot"]:
                         out.append((r["gram"], shard, doc, key, lo, r["lead"], text[lo : lo + n + size - 1]))
+                        held += n + size
                         continue
                     for i in range(n):
                         x = text[lo + i : lo + i + size]
                         h = hashlib.blake2b(x[: size // 2] + (r["lead"] - i).to_bytes(4, "little"), digest_size=8).digest()
                         out.append((int.from_bytes(h, "little", signed=True), shard, doc, key, lo + i, 0, x))
+                    held += n * size
+                    if held > 1 << 22:  # strings that go alone take many times their text's room
+                        yield batch(out)
+                        out, held = [], 0
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in CONTEXTS.split(", ")])
+                yield batch(out)
 
     return both.mapInArrow(run, CONTEXTS)
 
