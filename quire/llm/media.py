@@ -6,9 +6,9 @@ minus 128, so baseline decoding returns every sample exactly. The frames' own Hu
 size class c a code of 9 - c bits: a DC difference then takes 9 bits whatever its class, and with
 a 7-bit end-of-block code a block takes two whole bytes, so frames are coded and decoded as arrays.
 
-The reader goes by the RIFF chunk tree and the idx1 index, reads each frame's own quantisation and
-Huffman tables, and accepts any frame of this profile (grey, one flat value a block, 16 bits a
-block). Shots end where the histogram difference of two frames passes mean + k deviations of the
+The reader goes by the RIFF chunk tree and the idx1 index. Frames of this profile are read as arrays;
+any other baseline frame is decoded in full, by its own quantisation and Huffman tables (the usual
+ones where it has none), with all coefficients and components, and its luma is what shots see. Shots end where the histogram difference of two frames passes mean + k deviations of the
 differences seen in a sliding window; each shot is a timed clip.
 
 Defined cases: null and empty texts become one frame of 255s; equal payloads give equal files,
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from zlib import crc32
@@ -76,6 +77,9 @@ def _words(codes: list[tuple[int, int, int]]) -> np.ndarray:
 
 _ENCODE = _words([(c, ((1 << (8 - c)) - 1) << 1, 9 - c) for c in range(8, -1, -1)])
 
+_DECODE = np.zeros(512, np.int16)
+_DECODE[_ENCODE] = np.arange(-255, 256)
+
 
 def encode(payload: bytes) -> bytes:
     """The AVI file of a payload whose length is a positive multiple of 576."""
@@ -84,20 +88,23 @@ def encode(payload: bytes) -> bytes:
     d[:, 1:] -= x[:, :-1]
     d[:, 0] -= 128
     coded = (_ENCODE[d + 255] << 7).astype(">u2").tobytes()
-    n, step = len(x), 2 * FRAME
-    body, index, at = [], [], 4
-    for i in range(n):
-        scan = coded[i * step : (i + 1) * step].replace(b"\xff", b"\xff\x00")
-        jpeg = HEADER + scan + b"\xff\xd9"
+    step = 2 * FRAME
+    scans = (coded[i * step : (i + 1) * step].replace(b"\xff", b"\xff\x00") for i in range(len(x)))
+    return container([HEADER + scan + b"\xff\xd9" for scan in scans], SIDE * 8, SIDE * 8)
+
+
+def container(jpegs: list[bytes], width: int, height: int) -> bytes:
+    """The AVI file of JPEG frames."""
+    n, body, index, at = len(jpegs), [], [], 4
+    for jpeg in jpegs:
         size = len(jpeg)
         body.append(struct.pack("<4sI", b"00dc", size) + jpeg + b"\x00" * (size & 1))
         index.append(struct.pack("<4sIII", b"00dc", 16, at, size))
         at += 8 + size + (size & 1)
     movi = b"movi" + b"".join(body)
-    px = SIDE * 8
-    avih = struct.pack("<14I", 1_000_000 // FPS, 0, 0, 0x10, n, 0, 1, 0, px, px, 0, 0, 0, 0)
-    strh = struct.pack("<4s4sIHHIIIIIIIIHHHH", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, n, 0, 10000, 0, 0, 0, px, px)
-    strf = struct.pack("<IiiHH4sIiiII", 40, px, px, 1, 24, b"MJPG", px * px * 3, 0, 0, 0, 0)
+    avih = struct.pack("<14I", 1_000_000 // FPS, 0, 0, 0x10, n, 0, 1, 0, width, height, 0, 0, 0, 0)
+    strh = struct.pack("<4s4sIHHIIIIIIIIHHHH", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, n, 0, 10000, 0, 0, 0, width, height)
+    strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
     strl = _list(b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf))
     hdrl = _list(b"hdrl" + _chunk(b"avih", avih) + strl)
     riff = b"AVI " + hdrl + _list(movi) + _chunk(b"idx1", b"".join(index))
@@ -134,50 +141,152 @@ def index(avi: bytes) -> tuple[float, list[tuple[int, int]]]:
     return fps, frames
 
 
+_ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+_DCT = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _usual(counts: str, symbols: bytes) -> tuple[bytes, bytes]:
+    return bytes.fromhex(counts), symbols
+
+
+#: The tables of frames that bring none (ITU-T T.81, K.3).
+USUAL = {
+    0x00: _usual("00010501010101010100000000000000", bytes(range(12))),
+    0x01: _usual("00030101010101010101010000000000", bytes(range(12))),
+    0x10: _usual("0002010303020403050504040000017d", bytes.fromhex(
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa")),
+    0x11: _usual("00020102040403040705040400010277", bytes.fromhex(
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa")),
+}
 
 
 @functools.lru_cache(64)
-def _differences(counts: bytes, symbols: bytes) -> np.ndarray:
-    """The difference of each 9-bit word of a DC table."""
-    back = np.zeros(512, np.int16)
-    back[_words(_codes(counts, symbols))] = np.arange(-255, 256)
-    return back
-
-
-def _head(frame: bytes) -> tuple[int, np.ndarray, int]:
-    """Where a frame's scan starts, its difference of each 9-bit word, and its DC step."""
-    at, dc, step, ac = 2, None, 0, None
-    while True:
-        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+def _lookup(counts: bytes, symbols: bytes) -> list[int]:
+    """Of each 16 bits: the length of the code that they begin with, times 256, and its symbol; 0: none."""
+    table = np.zeros(1 << 16, np.int64)
+    for symbol, code, n in _codes(counts, symbols):
+        table[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | symbol
+    return table.tolist()
+
+
+def _block(data: bytes, at: int, dc: list[int], ac: list[int], before: int) -> tuple[int, list[int]]:
+    """The next bit's place and a block's coefficients in their coded order."""
+    out, k, table = [0] * 64, 0, dc
+    while k < 64:
+        i = at >> 3
+        if i + 6 > len(data):
+            raise ValueError("a frame's data ends early")
+        bits = int.from_bytes(data[i : i + 6], "big") >> (16 - (at & 7)) & 0xFFFFFFFF
+        code = table[bits >> 16]
+        if not code:
+            raise ValueError("not a code of the frame's table")
+        n, symbol = code >> 8, code & 255
+        run, size = (symbol >> 4, symbol & 15) if k else (0, symbol)
+        at += n + size
+        if k and not size:
+            if run < 15:
+                break
+            k += 16
+            continue
+        value = (bits >> (32 - n - size)) & ((1 << size) - 1)
+        if size and not value >> (size - 1):
+            value -= (1 << size) - 1
+        k += run
+        if k > 63:
+            raise ValueError("too many coefficients in a block")
+        out[k] = value + before if not k else value
+        k, table = k + 1, ac
+    return at, out
+
+
+def picture(frame: bytes) -> np.ndarray:
+    """The samples of a baseline frame as stored: (height, width, components), components of fewer
+    samples repeated to full size."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    at, quant, tables, restart, parts, high, wide = 2, {}, dict(USUAL), 0, {}, 0, 0
+    while at + 4 <= len(frame):
+        marker = frame[at + 1]
+        if frame[at] != 0xFF or marker in (0xFF, 0x00):
+            at += 1
+            continue
+        if marker == 0xD9:
+            break
+        size = struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
-            step = body[1]
-        elif marker == 0xC4 and body[0] == 0:
-            dc = _differences(body[1:17], body[17:])
+            while body:
+                n = 128 if body[0] >> 4 else 64
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if n == 128 else np.uint8).astype(np.int64)
+                body = body[1 + n :]
         elif marker == 0xC4:
-            ac = _codes(body[1:17], body[17:])
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]] = body[1:17], body[17 : 17 + n]
+                body = body[17 + n :]
+        elif marker in (0xC0, 0xC1):
+            bits, high, wide, n = struct.unpack_from(">BHHB", body)
+            if bits != 8 or not high or not wide:
+                raise ValueError("unsupported samples")
+            parts = {body[6 + 3 * i]: [body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]] for i in range(n)}
+            hs, vs = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+            mx, my = -(-wide // (8 * hs)), -(-high // (8 * vs))
+            blocks = {c: np.zeros((my * p[1], mx * p[0], 64), np.int64) for c, p in parts.items()}
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError("not a baseline frame")
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            break
-    if ac != [(0, 0, 7)] or dc is None or step != 8:
-        raise ValueError("unsupported profile")
-    return at, dc, step
+            scan = [(body[1 + 2 * i], _lookup(*tables[body[2 + 2 * i] >> 4]), _lookup(*tables[16 | body[2 + 2 * i] & 15])) for i in range(body[0])]
+            if len(scan) == 1:  # its own blocks, row by row
+                c, (h, v, _) = scan[0][0], parts[scan[0][0]]
+                units = [[(0, y, x)] for y in range(-(-(-(-high * v // vs)) // 8)) for x in range(-(-(-(-wide * h // hs)) // 8))]
+            else:
+                units = [[(i, my_ * parts[c[0]][1] + y, mx_ * parts[c[0]][0] + x) for i, c in enumerate(scan) for y in range(parts[c[0]][1]) for x in range(parts[c[0]][0])] for my_ in range(my) for mx_ in range(mx)]
+            end = re.compile(rb"\xff[^\x00\xd0-\xd7]").search(frame, at)
+            stop = end.start() if end else len(frame)
+            pieces = re.split(rb"\xff[\xd0-\xd7]", frame[at:stop])
+            every = restart or len(units)
+            for lo in range(0, len(units), every):
+                if lo // every >= len(pieces):
+                    raise ValueError("a frame's data ends early")
+                data, bit, last = pieces[lo // every].replace(b"\xff\x00", b"\xff") + b"\xff" * 8, 0, [0] * len(scan)
+                for unit in units[lo : lo + every]:
+                    for i, y, x in unit:
+                        bit, got = _block(data, bit, scan[i][1], scan[i][2], last[i])
+                        last[i] = got[0]
+                        blocks[scan[i][0]][y, x] = got
+            at = stop
+    if not parts:
+        raise ValueError("a frame without a header")
+    planes = []
+    for c, (h, v, q) in parts.items():
+        f = np.zeros(blocks[c].shape, float)
+        f[..., _ZIGZAG] = blocks[c] * quant[q]
+        x = _DCT.T @ f.reshape(*f.shape[:2], 8, 8) @ _DCT
+        x = x.transpose(0, 2, 1, 3).reshape(f.shape[0] * 8, -1)
+        x = np.clip(np.floor(x + 128.5), 0, 255).astype(np.uint8)
+        planes.append(x[np.arange(high) * v // vs][:, np.arange(wide) * h // hs])
+    return np.stack(planes, 2)
 
 
 def decode(avi: bytes) -> tuple[float, np.ndarray]:
-    """Frames per second and the samples, one row a frame."""
+    """Frames per second and the samples, one row a frame: the blocks' values where all frames are of
+    this profile, else the luma of each frame."""
     fps, frames = index(avi)
-    cached, scans, back = None, b"", None
-    words = []
+    cut, words = len(HEADER), []
+    for at, size in frames:
+        words.append(avi[at + cut : at + size - 2].replace(b"\xff\x00", b"\xff") if avi[at : at + cut] == HEADER else b"")
+    if all(len(w) == 2 * FRAME for w in words):
+        w = np.frombuffer(b"".join(words), ">u2").reshape(len(frames), FRAME)
+        if not (w & 127).any():
+            return fps, (np.cumsum(_DECODE[w >> 7], axis=1, dtype=np.int16) + 128).astype(np.uint8)
+    rows = []
     for at, size in frames:
-        if cached is None or avi[at : at + cached] != scans:
-            probe = avi[at : at + size]
-            cut = _head(probe)
-            cached, scans = cut[0], probe[: cut[0]]
-            back = cut[1]
-        words.append(avi[at + cached : at + size - 2].replace(b"\xff\x00", b"\xff"))
-    w = np.frombuffer(b"".join(words), ">u2").reshape(len(frames), FRAME)
-    return fps, (np.cumsum(back[w >> 7], axis=1, dtype=np.int16) + 128).astype(np.uint8)
+        # an empty frame shows the last one again
+        rows.append(picture(avi[at : at + size])[..., 0].ravel() if size or not rows else rows[-1])
+    return fps, np.stack(rows)
 
 
 def shots(x: np.ndarray, bins: int = 16, window: int = 8, k: int = 3, least: int = 64) -> list[tuple[int, int, int]]:

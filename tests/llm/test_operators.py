@@ -334,6 +334,38 @@ def test_media(docs):
     assert media.clips(media.with_media(docs)).count() >= len(TEXTS)
 
 
+@pytest.mark.parametrize(("kind", "size", "bare"), [(10, (40, 24), False), (5, (37, 21), False), (5, (37, 21), True)])
+def test_media_baseline(spark, kind, size, bare):
+    """Frames of another writer: grey and colour, all coefficients, halved colour, sizes that are no
+    multiple of a block, frames without Huffman tables."""
+    jvm, (w, h) = spark._jvm, size
+    image = jvm.java.awt.image.BufferedImage(w, h, kind)
+    for y in range(h):
+        for x in range(w):
+            image.setRGB(x, y, (5 * x % 256) << 16 | (90 + 3 * y) << 8 | (x * y % 200))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    jpeg = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(out.toByteArray()))
+    if kind == 10:
+        want = np.array([[back.getRaster().getSample(x, y, 0) for x in range(w)] for y in range(h)])
+    else:
+        rgb = np.array([[back.getRGB(x, y) for x in range(w)] for y in range(h)])
+        want = 0.299 * (rgb >> 16 & 255) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
+    if bare:
+        at = 2
+        while jpeg[at + 1] != 0xDA:
+            n = 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+            jpeg, at = (jpeg[:at] + jpeg[at + n :], at) if jpeg[at + 1] == 0xC4 else (jpeg, at + n)
+    fps, got = media.decode(media.container([jpeg, jpeg, b""], w, h))
+    assert fps == 25 and got.shape == (3, w * h)
+    # colours out of range are clipped in RGB
+    assert np.quantile(np.abs(got[2].reshape(h, w) - want), 0.9) <= 2
+    own = media.encode(media.pad(bytes(range(256)) * 3))
+    at, n = media.index(own)[1][0]
+    assert media.picture(own[at : at + n])[::8, ::8, 0].ravel().tolist() == media.decode(own)[1][0].tolist()
+
+
 @pytest.mark.parametrize("room", [shingle_join.ROOM, 0])
 def test_shingle_join(docs, room):
     low = [words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for t in TEXTS]
