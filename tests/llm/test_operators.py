@@ -139,6 +139,25 @@ def test_suffix_tree_pieces(spark):
     assert all(np.frombuffer(r.pieces, np.uint64)[:20].tolist() == t.hash[:20].tolist() for r in got)
 
 
+def test_suffix_tree_subtrees(spark):
+    """Contexts that longer ones never improve on, such as the end of a passage of 150 words that goes
+    on in two ways, make no rows for each of their lengths; with no room in a task the scores are the same."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = [f"{passage} {'ab'[j % 2]} {' '.join(rng.choice(WORDS) for _ in range(3))}" for j in range(60)]
+    docs = suffix_tree.training(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    counts = suffix_tree.word_counts(docs)
+    n = counts.agg({"c": "sum", "word": "count"}).first()
+    tree = suffix_tree.tree(docs, counts, n["sum(c)"], n["count(word)"], 8)
+    assert tree.where("size = 1 and weight is not null").count() and tree.where("size > 4").count() < 40
+    for a in range(4):
+        texts += [f"from{a} one two three four five six then to{a if rng.random() < 0.9 else rng.randrange(4)} {rng.choice(WORDS)}" for _ in range(50)]
+    texts += ["a " * 40] * 3 + ["a " * 30 + "b"] * 12
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, want = ({r.doc_id: r.score for r in suffix_tree.score(d, room=room).collect()} for room in (suffix_tree.ROOM, 0))
+    assert got == pytest.approx(want) and [got[i] for i in range(len(texts))] == pytest.approx(suffix_tree_scores(texts, 8)[0])
+
+
 def test_repeats(docs):
     raw = [(t or "").encode() for t in TEXTS]
     c = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
