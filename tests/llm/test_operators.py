@@ -472,5 +472,13 @@ def test_shingle_join_ids(spark):
     assert [r[2] for r in got if r[0] == 0 and r[1] == len({tuple(a.split()[i : i + 5]) for i in range(36)})] == [7]
 
 
+def test_shingle_join_null_near(spark):
+    """A null id takes the smallest id of a text that differs in its last word only."""
+    a = " ".join(f"v{i}" for i in range(40))
+    d = spark.createDataFrame([(None, a, 1), (7, a[:-3] + "x", 2), (7, a.replace("v", "u"), 3)], "doc_id long, text string, id int")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in shingle_join.classes(d).collect())
+    assert got == [(0, 7), (7, 7), (7, 7)]
+
+
 def test_shingle_join_empty(spark):
     assert shingle_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
